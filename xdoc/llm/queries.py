@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, matroska, quality
+from . import bytebpe, linededup, matroska, packing, quality, tokencount
 from .common import read_table
 
 
@@ -12,6 +13,18 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(read_table(spark, sf_dir, "documents"))
 
@@ -20,4 +33,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op9_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_tokens, op5_bpe, op6_packing, op9_quality, op10_lines)}
