@@ -7,6 +7,21 @@ from .linededup import MIN_SITES, MIN_WORDS
 _SPACE = r"[\x20\x09-\x0D]"
 
 ORACLES = {
+    "op8_toolcalls": """
+WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'
+), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
+), levels AS (
+  SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, l.level + 1 FROM levels l JOIN u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2
+), rows_ AS (
+  SELECT u.conv_id, u.turn, u.conv_id || ':' || u.turn AS call_id, 'call' AS kind, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, l.level, CASE WHEN a.conv_id IS NULL THEN 0 ELSE 1 END AS n_results, '' AS errors,
+    '{"arguments":{"text":' || to_json(u.text) || ',"turn":' || u.turn || '},"id":"' || u.conv_id || ':' || u.turn || '","name":"reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS canonical
+  FROM u JOIN levels l USING (conv_id, turn) LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  UNION ALL SELECT a.conv_id, a.turn, a.conv_id || ':' || (a.turn - 1), 'orphan', 'orphan', NULL, 1, '', '{"id":"' || a.conv_id || ':' || (a.turn - 1) || '","result":' || to_json(a.text) || '}'
+  FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)
+  UNION ALL SELECT conv_id, turn, NULL, 'message', 'message', NULL, 0, '', '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' FROM conversations WHERE role NOT IN ('user', 'assistant')
+)
+SELECT conv_id, turn, call_id, kind, status, CAST(level AS BIGINT) AS level, CAST(n_results AS BIGINT) AS n_results, errors, canonical FROM rows_""",
     "op10_lines": rf"""
 WITH lines AS (
   SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, linededup, matroska, packing, quality, tokencount
+from . import bytebpe, linededup, matroska, packing, pii, quality, tokencount, toolcalls
 from .common import read_table
 
 
@@ -25,6 +25,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read_table(spark, sf_dir, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
+
+
+#: The schema of the one tool that plain chat calls.
+REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+
+
+def op8_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.turns_as_calls(read_table(spark, sf_dir, "conversations")), REPLY)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(read_table(spark, sf_dir, "documents"))
 
@@ -33,4 +45,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_tokens, op5_bpe, op6_packing, op9_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_tokens, op5_bpe, op6_packing, op7_pii, op8_toolcalls, op9_quality, op10_lines)}
