@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A line is boilerplate from so many distinct sites, and is looked at from so many words.
 MIN_SITES, MIN_WORDS = 10, 3
 #: log2 of a sketch's registers, and how far from the threshold an estimate is trusted.
@@ -28,7 +30,7 @@ LOG_K, TRUST = 6, 2.0
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str, site: str, min_words: int) -> DataFrame:
@@ -46,11 +48,11 @@ def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     spread = lines.groupBy("__h1", "__h2").agg(F.hll_sketch_agg("__site", F.lit(LOG_K)).alias("__sketch"), F.min("__doc").alias("__first"), F.count(F.lit(1)).alias("__n"))
     # a line with fewer occurrences than min_sites can't stand on so many sites
     spread = spread.where(F.col("__n") >= min_sites).select("__h1", "__h2", "__first", F.hll_sketch_estimate("__sketch").alias("__sites"))
-    spread = spread.where(F.col("__sites") * TRUST >= min_sites)
+    spread = materialize(spread.where(F.col("__sites") * TRUST >= min_sites), "spread")
     near = spread.where(F.col("__sites") <= min_sites * TRUST)
     sure = spread.where(F.col("__sites") > min_sites * TRUST).select("__h1", "__h2", "__first")
-    # distinct pairs first, which combines on the map side, so a line that stands everywhere is spread over its sites
-    pairs = lines.where(F.col("__site").isNotNull()).select("__h1", "__h2", "__site").join(near.select("__h1", "__h2"), ["__h1", "__h2"], "left_semi").distinct()
+    # distinct pairs first, which combines on the map side: a line that stands everywhere is as many rows as it has sites
+    pairs = lines.where(F.col("__site").isNotNull()).select("__h1", "__h2", "__site").distinct().join(near.select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
     exact = pairs.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__sites")).where(F.col("__sites") >= min_sites)
     return sure.union(near.join(exact.select("__h1", "__h2"), ["__h1", "__h2"]).select("__h1", "__h2", "__first"))
 
