@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, linededup, matroska, packing, pii, quality, suffixdedup, tokencount, toolcalls
+from . import bytebpe, jaccard, linededup, matroska, packing, pii, quality, suffixdedup, tokencount, toolcalls
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,4 +53,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_tokens, op4_suffixes, op5_bpe, op6_packing, op7_pii, op8_toolcalls, op9_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_jaccard, op3_tokens, op4_suffixes, op5_bpe, op6_packing, op7_pii, op8_toolcalls, op9_quality, op10_lines)}
