@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xdoc.llm import jaccard, linededup, packing, pii, quality
-from xdoc.llm.common import materialize, read_table
+from xdoc.llm.common import fresh, materialize, read_table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; documents without words or id stay."""
     groups = jaccard.near_duplicates(docs)
-    others = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
-    kept = docs.join(others, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    return kept.select(*docs.columns)
+    name = fresh(docs, "__gone")
+    others = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "duplicates")
+    return docs.join(others, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: A line is boilerplate from so many distinct sites, and is looked at from so many words.
 MIN_SITES, MIN_WORDS = 10, 3
@@ -64,23 +64,25 @@ def removals(docs: DataFrame, found: DataFrame, doc_id: str, text: str, site: st
     return hit.groupBy("__doc").agg(F.collect_set("__pos").alias("__gone"))
 
 
-def _edited(docs: DataFrame, doc_id: str, text: str, site: str, min_sites: int, min_words: int) -> tuple[DataFrame, Column, Column]:
+def _edited(docs: DataFrame, doc_id: str, text: str, site: str, min_sites: int, min_words: int) -> tuple[DataFrame, Column, Column, Column]:
+    """``docs`` with its removals; the text without them, its lines, and how many go."""
     found = boilerplate(docs, doc_id, text, site, min_sites, min_words)
-    gone = removals(docs, found, doc_id, text, site, min_words)
-    joined = docs.join(gone, docs[doc_id].cast("long") == gone["__doc"], "left")
-    lines = F.split(docs[text].cast("string"), "\n")
-    kept = F.filter(lines, lambda _, k: ~F.array_contains(gone["__gone"], k))
-    return joined, F.when(gone["__gone"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n")), lines
+    owner, name = fresh(docs, "__owner"), fresh(docs, "__gone")
+    gone = removals(docs, found, doc_id, text, site, min_words).toDF(owner, name)
+    joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(owner), "left")
+    lines = F.split(F.col(f"`{text}`").cast("string"), "\n")
+    kept = F.filter(lines, lambda _, k: ~F.array_contains(name, k))
+    return joined, F.when(F.col(name).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")), lines, F.size(name)
 
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns as they were, but for the text without boilerplate lines. No row goes."""
-    joined, edited, _ = _edited(docs, doc_id, text, site, min_sites, min_words)
-    return joined.select(*[(edited.alias(c) if c == text else docs[c]) for c in docs.columns])
+    joined, edited, _, _ = _edited(docs, doc_id, text, site, min_sites, min_words)
+    return joined.select(*[(edited.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: lines, removed lines, remaining text's length and hash."""
-    joined, edited, lines = _edited(docs, doc_id, text, site, min_sites, min_words)
+    joined, edited, lines, gone = _edited(docs, doc_id, text, site, min_sites, min_words)
     kept = F.coalesce(edited, F.lit(""))
-    return joined.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    return joined.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

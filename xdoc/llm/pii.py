@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 KEY = "xdoc"
 #: Draws after which entities that still collide are an error.
@@ -205,18 +205,19 @@ def _replacement(match: Column, table: Column) -> Column:
 def replace_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with entities of its text replaced; ``count`` names an added column with their number."""
     body = docs[text].cast("string")
-    found = docs.select(docs[doc_id].alias("__doc"), matches(body).alias("__matches")).where(F.size("__matches") > 0)
-    named = found.select("__doc", F.explode(F.array_distinct(F.flatten(F.transform("__matches", entities)))).alias("__entity"))
+    owner, hit, names = (fresh(docs, x) for x in ("__owner", "__matches", "__table"))  # whatever columns docs has
+    found = docs.select(docs[doc_id].alias(owner), matches(body).alias(hit)).where(F.size(hit) > 0)
+    named = found.select(owner, F.explode(F.array_distinct(F.flatten(F.transform(hit, entities)))).alias("__entity"))
     named = materialize(named, "named")
     table = named.join(surrogates(named, key), "__entity")
-    table = table.distinct().groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct("__entity", "__surrogate"))).alias("__table"))
+    table = table.distinct().groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("__entity", "__surrogate"))).alias(names))
 
-    keep = docs.columns
-    hits = docs.withColumn("__matches", matches(body))
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    hits = docs.withColumn(hit, matches(body))
     extra = lambda n: [n.cast("long").alias(count)] if count else []
-    clean = hits.where(F.size("__matches") == 0).select(*keep, *extra(F.lit(0)))
-    dirty = hits.where(F.size("__matches") > 0).join(table, F.col(doc_id).eqNullSafe(F.col("__doc")))
-    parts = F.split(F.col(text).cast("string"), PATTERN, -1)
-    new = F.concat(F.transform("__matches", lambda m: _replacement(m, F.col("__table"))), F.array(F.lit("")))
+    clean = hits.where(F.size(hit) == 0).select(*keep, *extra(F.lit(0)))
+    dirty = hits.where(F.size(hit) > 0).join(table, F.col(f"`{doc_id}`").eqNullSafe(F.col(owner)))
+    parts = F.split(F.col(f"`{text}`").cast("string"), PATTERN, -1)
+    new = F.concat(F.transform(hit, lambda m: _replacement(m, F.col(names))), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, b)), "")
-    return clean.unionByName(dirty.select(*[(joined.alias(c) if c == text else F.col(c)) for c in keep], *extra(F.size("__matches"))))
+    return clean.unionByName(dirty.select(*[(joined.alias(c) if c == text else k) for c, k in zip(docs.columns, keep, strict=True)], *extra(F.size(hit))))
