@@ -123,7 +123,7 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("".join(f"{{s: 'k{i % 2}', x: {i}m, t: 2025-01-01T00:{i:02d}:00Z}}\n" for i in range(20)))
     docs = lines.read_stream(spark, str(tmp_path / "in"), mode="DROPMALFORMED").withColumn("v", F.parse_json(xdoc.call("navigable", F.col("document"))))
-    for name, frame, mode in (("t1", events.totals(docs, "s", "x"), "complete"), ("t2", events.windows(docs, "t", "10 minutes"), "complete"), ("t3", events.sessions(docs, "t", "5 minutes"), "complete")):
+    for name, frame, mode in (("t1", events.totals(docs, "s", "x"), "complete"), ("t2", events.windows(docs, "t", "10 minutes"), "complete"), ("t3", events.sessions(docs, "t", "5 minutes", "10 minutes", xdoc.call("typeof", F.col("v")).alias("k")), "complete")):
         frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.key, r.n, int(r.total)) for r in spark.table("t1").collect()) == [("k0", 10, 90), ("k1", 10, 100)]
     assert sorted(r.n for r in spark.table("t2").collect()) == [10, 10] and [r.n for r in spark.table("t3").collect()] == [20]

@@ -16,9 +16,9 @@ NULL = "null"
 
 
 def quoted(text: Column) -> Column:
-    """A string as a JSON string."""
+    """A string as a JSON string; null where it is."""
     array = F.to_json(F.array(text))
-    return F.substring(array, F.lit(2), F.length(array) - 2)
+    return F.when(text.isNotNull(), F.substring(array, F.lit(2), F.length(array) - 2))
 
 
 def _tagged(tag: str, text: Column) -> Column:

@@ -35,6 +35,6 @@ def windows(df: DataFrame, member: str, size: str, slide: str | None = None, lat
 
 
 def sessions(df: DataFrame, member: str, gap: str, late: str = "10 minutes", *keys: Column) -> DataFrame:
-    """Count per session of events no further apart than ``gap``."""
+    """Count per session of events no further apart than ``gap``, and per key; Spark wants a key on streams."""
     at = event_time(df, member).withWatermark("event_time", late)
     return at.groupBy(F.session_window("event_time", gap), *keys).agg(F.count(F.lit(1)).alias("n"))
