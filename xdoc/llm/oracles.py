@@ -6,7 +6,40 @@ from .linededup import MIN_SITES, MIN_WORDS
 
 _SPACE = r"[\x20\x09-\x0D]"
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
 ORACLES = {
+    "op2_jaccard": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(v, l) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.l FROM reach r JOIN edges e ON e.a = r.v)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT v AS doc_id, min(l) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
+    "op9_quality": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, text, regexp_extract_all(text, {_WORDS}) AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS ls FROM t
+), grams AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1
+), covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1
+), base AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines, len(list_distinct(ws)) AS n_distinct,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS letters
+  FROM w LEFT JOIN covered c USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines OR 5 * upper > 2 * letters OR 5 * letters < 3 * word_chars OR 5 * digits > word_chars OR 20 * n_distinct < n_words AS rejected
+  FROM base
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM judged""",
     "op8_toolcalls": """
 WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'
 ), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
