@@ -39,6 +39,8 @@ from .setjoin import SetJoin
 SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch (a driver and each worker hold a byte of class each), in so many parts.
 COUNTERS, PARTS = 1 << 22, 64
+#: Classes of rarity for each doubling of a count.
+STEPS = 12
 #: Sets of a block.
 BLOCK = 128
 
@@ -118,8 +120,9 @@ def rarity(surveyed: DataFrame) -> bytes:
         total = np.zeros(COUNTERS // PARTS, np.uint64)
         for blob in table.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(blob), np.uint32)
-        usual = 2 * total.mean() + 16  # what rare tokens that share a counter amount to
-        classes = np.where(total <= usual, 0, 1 + np.log2(np.maximum(total, 1) / usual)).astype(np.uint8)
+        # fine steps: a prefix takes the quarter with the smallest counts, so even tokens that are a little
+        # more frequent than what else shares a counter stay out of it
+        classes = np.minimum(255, STEPS * np.log2(1.0 + total)).astype(np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([zlib.compress(classes.tobytes())], pa.binary())})
 
     found = surveyed.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(add, "part int, classes binary")
@@ -205,8 +208,8 @@ def lists(posts: DataFrame, percent: int = PERCENT) -> DataFrame:
     return posts.select("posts").mapInArrow(run, "token long, set long, n long, leader long")
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set and its packed tokens, of documents (doc, set) that stand for wanted sets."""
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set, z): the compressed text of the document that stands for each wanted set."""
     def squeeze(batches):
         own = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -214,36 +217,35 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(a, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.compress((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
-    def run(batches):
-        own = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = pa.array([own.decompress(z).decode() for z in batch.column(1).to_pylist()], pa.string())
-            rows = [(s, tokens.tobytes()) for s, (_, _, tokens) in zip(batch.column(0).to_pylist(), _sets([pa.RecordBatch.from_arrays([batch.column(0), texts], names=["set", "text"])]), strict=True)]
-            # of rows with one id, only those whose set is the wanted one
-            rows = [r for r in rows if set_hash(np.frombuffer(r[1], np.uint64))[0] == r[0]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set", "tokens"])
+    return docs.mapInArrow(squeeze, "doc long, z binary").join(wanted, "doc").select("set", "z")
+
 
-    packed = docs.mapInArrow(squeeze, "doc long, z binary")
-    return packed.join(wanted, "doc").select("set", "z").mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"])
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct sets, ascending, with their tokens; of rows with one id, those whose set is the wanted one."""
+    own, found = zstandard.ZstdDecompressor(), {}
+    names = table.column("set").to_pylist()
+    texts = pa.array([own.decompress(z).decode() for z in table.column("z").to_pylist()], pa.string())
+    for name, (_, _, tokens) in zip(names, _sets([pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), texts], names=["set", "text"])]), strict=True):
+        if name not in found and len(tokens) and set_hash(tokens)[0] == name:
+            found[name] = tokens
+    return np.array(sorted(found), np.int64), [found[k] for k in sorted(found)]
 
 
 def _join_groups(members: DataFrame, percent: int, center: str | None = None) -> DataFrame:
-    """Rows (gid, set, tokens) joined within each gid: (set, root), root the first of its links there, or ``center`` if that is among them."""
+    """Rows (gid, set, z) joined within each gid: (set, root), root the first of its links there, or ``center`` if that is among them."""
     def run(key, table):
-        sets = np.array(table.column("set").to_pylist(), np.int64)
-        order = np.argsort(sets)
-        sets, blobs = sets[order], table.column("tokens").to_pylist()
-        join = SetJoin([np.frombuffer(blobs[k], np.uint64) for k in order.tolist()], percent)
+        sets, tokens = _unpacked(table)
+        join = SetJoin(tokens, percent)
         join.run()
-        root = sets[join.labels()]
+        root = sets[join.labels()] if len(sets) else sets
         if center is not None:
             middle = table.column(center)[0].as_py()
-            own = root[np.searchsorted(sets, middle)] if middle in sets else None
-            root = np.where(root == own, middle, root) if own is not None else root
-        return pa.table({"set": pa.array(sets), "root": pa.array(root)})
+            at = int(np.searchsorted(sets, middle))
+            if at < len(sets) and sets[at] == middle:
+                root = np.where(root == root[at], middle, root)
+        return pa.table({"set": pa.array(sets, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    columns = ["gid", "set", "tokens", *([center] if center else [])]
+    columns = ["gid", "set", "z", *([center] if center else [])]
     return members.select(*columns).groupBy("gid").applyInArrow(run, "set long, root long")
 
 
@@ -273,11 +275,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     led = led.join(members, "leader").withColumn("chunk", _chunk(F.col("members"), F.col("set")))
     groups = led.where((F.col("members") > 1) & (F.col("set") != F.col("leader"))).select(F.xxhash64("leader", "chunk").alias("gid"), "leader", "set")
     groups = groups.union(groups.select("gid", "leader", F.col("leader").alias("set")).distinct())
-    first = rows.where(F.col("h1").isNotNull() & F.col("doc").isNotNull()).groupBy("h1").agg(F.min("doc").alias("doc"))
+    first = materialize(rows.where(F.col("h1").isNotNull() & F.col("doc").isNotNull()).groupBy("h1").agg(F.min("doc").alias("doc")), "first")
     wanted = size.join(first, size["set"] == first["h1"]).select("set", "doc")
     wanted = materialize(wanted, "wanted")
-    tokens = materialize(token_sets(own, wanted), "tokens")
-    near = materialize(_join_groups(groups.join(tokens, "set"), percent, "leader"), "near")
+    texts = materialize(packed_texts(own, wanted), "texts")
+    near = materialize(_join_groups(groups.join(texts, "set"), percent, "leader"), "near")
 
     # 4. blocks: linked sets by root, others by leader
     roots = near.groupBy("set").agg(F.min("root").alias("root"))
@@ -297,15 +299,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") < F.col("r.block")) & fit & apart).select(F.col("l.block").alias("a"), F.col("r.block").alias("b")).distinct()
     pairs = materialize(pairs.union(held.where(F.col("kin").isNull()).select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()), "pairs")
     sides = pairs.select(F.xxhash64("a", "b").alias("gid"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    far = _join_groups(sides.join(held.select("set", "block"), "block").join(tokens, "set"), percent)
+    far = _join_groups(sides.join(held.select("set", "block"), "block").join(texts, "set"), percent)
 
     # 5. components of documents: a set stands for its smallest document
-    edges = near.union(far).where("set <> root").distinct()
+    edges = near.union(materialize(far, "far")).where("set <> root").distinct()
     edges = edges.join(first.select(F.col("h1").alias("set"), F.col("doc").alias("a")), "set").join(first.select(F.col("h1").alias("root"), F.col("doc").alias("b")), "root").select("a", "b")
     # rows of one id with different texts connect their sets
     copies = rows.where(F.col("h1").isNotNull() & F.col("doc").isNotNull()).join(first.select("h1", F.col("doc").alias("first")), "h1").select("doc", "n", "h1", "first")
     edges = edges.union(copies.where("doc <> first").join(copies.groupBy("doc").agg(F.countDistinct("h1").alias("k")).where("k > 1"), "doc").select(F.col("doc").alias("a"), F.col("first").alias("b")))
-    label = components(edges)
+    label = components(materialize(edges, "links"))
     whole = rows.join(first.select("h1", F.col("doc").alias("first")), "h1", "left")
     whole = whole.withColumn("first", F.coalesce("first", "doc")).join(label, F.col("first") == F.col("v"), "left")
     return whole.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "first").alias("component_id"))
