@@ -297,7 +297,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fit = (F.col("l.low") * percent <= F.col("r.high") * 100) & (F.col("r.low") * percent <= F.col("l.high") * 100)
     apart = ~F.coalesce(F.col("l.kin") == F.col("r.kin"), F.lit(False))
     pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") < F.col("r.block")) & fit & apart).select(F.col("l.block").alias("a"), F.col("r.block").alias("b")).distinct()
-    pairs = materialize(pairs.union(held.where(F.col("kin").isNull()).select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()), "pairs")
+    crowded = held.where(F.col("kin").isNull()).groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    pairs = materialize(pairs.union(crowded.select(F.col("block").alias("a"), F.col("block").alias("b"))), "pairs")
     sides = pairs.select(F.xxhash64("a", "b").alias("gid"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     far = _join_groups(sides.join(held.select("set", "block"), "block").join(texts, "set"), percent)
 
