@@ -179,7 +179,9 @@ class ColumnBwt:
         by = np.argsort(changed_at)
         changed_at, changed_to = changed_at[by], changed_to[by]
         total, offset = self.total, 0
-        out = {k: open(self._path(k, self.round + 1), "wb") for k in _FIELDS}
+        # the files of two rounds ago are shorter: written over, which is cheaper than to empty them first
+        names = {k: self._path(k, self.round + 1) for k in _FIELDS}
+        out = {k: open(name, "r+b" if os.path.exists(name) else "wb") for k, name in names.items()}
         try:
             for at in range(0, max(total, 1), self.block):
                 n = min(self.block, total - at)

@@ -9,7 +9,7 @@ segment is at most ``2 * LENGTH`` bytes long, whatever the text's length.
 1. Segments meet by their anchor's hash, as hashes and places only, each task
    sending one of equal ones. All but the first of equal segments are repeats;
    where segments of an anchor differ, the first of each kind goes on.
-2. These segments, as bytes, form collections of bounded size, whose
+2. These segments, as bytes, unless neither side of the anchor reaches another's, form collections of bounded size, whose
    Burrows-Wheeler transform and common prefixes are built column by column in
    sequential files (``columnbwt``). Common prefixes of LENGTH and more tell
    equal strings; all but the first of them are repeats.
@@ -24,6 +24,7 @@ read. What remains of a text need not be valid UTF-8.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ COLLECTION_BYTES = 4 << 20
 HELD = 1 << 20
 
 _NO_ID = -(1 << 63)
-_RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
+_RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "u1"), ("place", "u1")])
 
 
 def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +59,8 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Of texts in one array (offsets from 0): row, start in the text, strings, and hashes of anchor and content, of each segment."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """Of texts in one array (offsets from 0): row, start in the text, strings, the anchor's place, and hashes of anchor and content, of each segment."""
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     n = len(data)
     if n < length:
         return none
@@ -79,7 +80,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor
     key = hashes[least[first]]
     place = (least[first] - begin).astype(np.uint64)
     content = mix(spans.hash(begin, end + length) ^ place * np.uint64(0x9E3779B97F4A7C15))
-    return row[first], begin - offsets[row[first]], end - begin + 1, key, content
+    return row[first], begin - offsets[row[first]], end - begin + 1, place.astype(np.int64), key, content
 
 
 def _blobs(found: np.ndarray, buckets: int):
@@ -102,7 +103,7 @@ def _by_doc(docs: np.ndarray, payload: np.ndarray):
 
 _FOUND = "bucket int, doc long, data binary"
 _SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
-_WANT = np.dtype([("start", "<u4"), ("count", "u1"), ("anchor", "<u8")])
+_WANT = np.dtype([("start", "<u4"), ("count", "u1"), ("place", "u1"), ("anchor", "<u8")])
 
 
 def _first_of_equals(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +157,11 @@ def find_segments(docs: DataFrame, doc_id: str, text: str, length: int, anchor:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
-                row, start, n, key, content = segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, anchor)
+                row, start, n, place, key, content = segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, anchor)
                 if not len(row):
                     continue
                 found = np.zeros(len(row), _RECORD)
-                found["anchor"], found["content"], found["doc"], found["start"], found["count"] = key, content, ids[a + row], start, n
+                found["anchor"], found["content"], found["doc"], found["start"], found["count"], found["place"] = key, content, ids[a + row], start, n, place
                 held.append(found)
                 count += len(found)
                 if count >= HELD:
@@ -209,10 +210,10 @@ def cut_segments(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 want = np.concatenate([np.frombuffer(b, _WANT) for b in blobs])
                 want = want[want["start"].astype(np.int64) + want["count"] + length - 1 <= len(raw)]
                 parts = [raw[s : s + n + length - 1] for s, n in zip(want["start"].tolist(), want["count"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(want["anchor"].view(np.int64)), pa.array(np.full(len(want), doc), pa.int64()), pa.array(want["start"].astype(np.int64)), pa.array(parts, pa.binary())], names=["anchor", "doc", "start", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(want["anchor"].view(np.int64)), pa.array(np.full(len(want), doc), pa.int64()), pa.array(want["start"].astype(np.int64)), pa.array(want["place"].astype(np.int32)), pa.array(parts, pa.binary())], names=["anchor", "doc", "start", "place", "segment"])
 
     by_doc = wanted.groupBy("doc").agg(F.collect_list("data").alias("blobs"))
-    return docs.join(by_doc, "doc").select("doc", "z", "blobs").mapInArrow(run, "anchor long, doc long, start long, segment binary")
+    return docs.join(by_doc, "doc").select("doc", "z", "blobs").mapInArrow(run, "anchor long, doc long, start long, place int, segment binary")
 
 
 def repeats_in(collection: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,25 +237,37 @@ def repeats_in(collection: list[tuple[int, int, bytes]], length: int) -> tuple[n
     return doc[order], spans
 
 
-def compare_segments(cut: DataFrame, length: int) -> DataFrame:
+def with_partners(held: list[tuple[int, int, int, int, bytes]], length: int, anchor: int) -> list[tuple[int, int, bytes]]:
+    """Of (anchor, doc, start, place, bytes), the segments that may share a string with another.
+
+    A string reaches half of what it has beside its anchor, or more, to one side of it; so two
+    segments that share one agree in that half, to the left or to the right of their anchors.
+    """
+    half = -(-(length - anchor) // 2)
+    sides = [((a, 0, s[p - half : p]) if p >= half else None, (a, 1, s[p + anchor : p + anchor + half]) if len(s) >= p + anchor + half else None) for a, _, _, p, s in held]
+    seen = Counter(side for pair in sides for side in pair if side)
+    return [(doc, start, s) for (_, doc, start, _, s), (left, right) in zip(held, sides, strict=True) if seen[left] > 1 or seen[right] > 1]
+
+
+def compare_segments(cut: DataFrame, length: int, anchor: int = ANCHOR) -> DataFrame:
     """Step 2: repeats among the segments of collections."""
     def run(batches):
         held, size, last = [], 0, None
 
         def flush():
-            docs_, spans = repeats_in(held, length)
+            docs_, spans = repeats_in(with_partners(held, length, anchor), length)
             if len(docs_):
                 d, data = _by_doc(docs_, spans)
                 yield pa.RecordBatch.from_arrays([d, data], names=["doc", "data"])
 
         for batch in batches:
-            for anchor, doc, start, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size >= COLLECTION_BYTES:
+            for key, doc, start, place, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last and size >= COLLECTION_BYTES:
                     yield from flush()
                     held, size = [], 0
-                held.append((doc, start, segment))
+                held.append((key, doc, start, place, segment))
                 size += len(segment)
-                last = anchor
+                last = key
         if held:
             yield from flush()
 
@@ -284,7 +297,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = materialize(meet(found.where(F.col("bucket").isNotNull()).repartition(buckets, "bucket"), length), "met")
     texts = _texts(docs, doc_id, text)
     cut = cut_segments(met.where(F.col("kind") == 1), texts, length)
-    compared = compare_segments(cut, length)
+    compared = compare_segments(cut, length, anchor)
     marks = found.where(F.col("bucket").isNull()).select("doc", "data").union(met.where(F.col("kind") == 0).select("doc", "data")).union(compared)
     by_doc = marks.groupBy("doc").agg(F.collect_list("data").alias("blobs"))
     schema = RESULT + (", kept binary" if keep_bytes else "")
