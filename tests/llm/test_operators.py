@@ -275,6 +275,26 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
     assert len({r["__surrogate"] for r in got}) == len(got) == 400
 
 
+def test_surrogates_of_full_kinds(spark):
+    of = lambda kind, n, start=0: spark.range(start, start + n).select(F.concat(F.lit(kind + ":"), F.format_string("N%d" if "_" in kind or kind == "family" else "%d", "id")).alias("__entity"))
+    keys = of("given_m", 3000).union(of("given_f", 3000)).union(of("given_cm", 400)).union(of("family", 3000)).union(of("phone", 9000, 1000)).union(of("secret", 10).select(F.concat(F.lit("secret:_______"), F.substring("__entity", -1, 1))))
+    got = pii.surrogates(keys).collect()
+    assert len(got) == keys.count() == len({(r[0].split(":")[0], r[1]) for r in got})
+    assert not {r[0] for r in got} & {r[0].split(":")[0] + ":" + r[1] for r in got}
+    assert all(r[1].isalpha() for r in got if r[0].startswith("given"))
+
+
+def test_surrogates_of_many_names_and_short_numbers(spark):
+    word = lambda k: "".join("bcdfghklmn"[int(d)] for d in f"{k:04}")
+    data = [(k, f"Mr. G{word(k)} F{word(k)} met Mrs. H{word(k)} F{word(k)}, +{10000 + k % 2000}.") for k in range(4000)]
+    got = dict(map(tuple, pii.replace_entities(spark.createDataFrame(data, "doc_id int, text string")).collect()))
+    assert len(got) == 4000
+    words = [got[k].replace(",", "").rstrip(".").split() for k in range(4000)]
+    for at, n in ((1, 4000), (2, 4000), (5, 4000), (7, 2000)):
+        assert len({w[at] for w in words}) == n
+    assert all(w[2] == w[6] and w[7].startswith("+1") for w in words)
+
+
 def test_native_plans(spark):
     for df in (pii.replace_entities(table(spark)), toolcalls.link(*toolcalls.turns_as_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id int, turn int, role string, text string")), REPLY)):
         plan = df._jdf.queryExecution().executedPlan().toString()

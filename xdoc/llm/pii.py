@@ -4,8 +4,9 @@ One pattern finds all kinds of entities. Each distinct entity gets a keyed
 surrogate of its kind that has its shape: letters become letters of the same
 script and case, digits digits, separators stay; names keep their title's
 gender; card numbers keep the Luhn property. Surrogates are checked against each
-other and against all originals, and whichever collide are drawn again, so
-distinct entities stay distinct and equal ones equal across the whole table.
+other and against all originals, and whichever collide are drawn again, longer
+where their kind or shape is full, so distinct entities stay distinct and equal
+ones equal across the whole table, however many there are.
 Texts without an entity pass through unread by any shuffle.
 
 Defined results: a null text stays null, an empty one empty; equal entities get
@@ -16,14 +17,18 @@ extra columns, whatever their names, are kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
 KEY = "xdoc"
-#: Draws after which entities that still collide are an error.
-DRAWS = 16
+#: Draws that keep the length of a value; later ones are longer by a symbol more each.
+PLAIN = 4
+#: So many entities of a kind at most are drawn again without making names longer.
+ROOM = {"given": 8, "family": 8192}
 
 # Titles, by gender, and letters of scripts.
 MALE = "Mr|Herr|Monsieur|Señor|Don|Sir|господин|г-н"
@@ -146,33 +151,60 @@ def _named(words: list[str], at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), _draw(F.lit(at), len(words)) + 1)
 
 
-def _surrogate() -> Column:
-    """From columns __kind, __value, __draw and __digest."""
+def _more(kind: str, draw: int, count: int) -> int:
+    """Symbols (syllables of names, else digits) that a draw of ``count`` entities adds: their space is far larger than they are many."""
+    first = kind.split("_")[0]
+    if draw == 0 or (draw < PLAIN and count <= ROOM.get(first, count)):
+        return 0
+    have = {"given": 16, "family": 16**4}.get(first, 1)
+    return max(1, math.ceil(math.log(64 * count / have, 16 if have > 1 else 10))) + max(0, draw - PLAIN)
+
+
+def _surrogate(more: dict[str, int]) -> tuple[Column, Column]:
+    """From columns __kind, __value and __digest; ``more`` tells by how many symbols a kind's values are longer."""
     k, value = F.col("__kind"), F.col("__value")
-    hexed = F.substring("__digest", F.lit(1), F.length(value))
-    card = _shaped(value, 1)
+
+    def by_kind(one):  # an expression of the number of added symbols
+        found = one(0)
+        for name, n in more.items():
+            found = F.when(k == name, one(n)).otherwise(found) if n else found
+        return found
+
+    zeros = by_kind(lambda n: F.lit("0" * n))  # shaped as digits of the value
+    hexed = F.substring("__digest", F.lit(1), F.length(value) + F.length(zeros))
+    card = _shaped(F.concat(value, zeros), 1)
     fixed = F.concat(F.expr("substring(__card, 1, length(__card) - 1)"), ((F.substring(F.col("__card"), -1, 1).cast("int") + 10 - _luhn(F.col("__card"))) % 10).cast("string"))
-    surname = lambda s: F.initcap(F.concat(*(_named(SURNAME[s], i) for i in range(1, 5))))
-    longer = F.when(F.col("__draw") > 3, F.col("__draw").cast("string")).otherwise("")  # a full list of names goes on with numbers
+    syllables = lambda s, start, n: [_named(SURNAME[s], start + i) for i in range(n)]
+    surname = lambda s: by_kind(lambda n: F.initcap(F.concat(*syllables(s, 1, 4 + n))))
+    letters = by_kind(lambda n: F.repeat(F.regexp_extract(value, r"(\p{L})[^\p{L}]*$", 1), n))
     found = F.when(k == "card", F.when(_luhn(value) == 0, fixed).otherwise(F.col("__card")))
-    found = found.when(k == "ip", F.concat_ws(".", *((_draw(F.lit(i), 254) + 1).cast("string") for i in range(4))))
+    found = found.when(k == "ip", F.concat(F.concat_ws(".", *((_draw(F.lit(i), 254) + 1).cast("string") for i in range(4))), by_kind(lambda n: F.concat(F.lit(""), *(_draw(F.lit(4 + i), 10).cast("string") for i in range(n))))))
     found = found.when((k == "secret") & value.rlike("^[0-9a-f]{1,256}$"), hexed).when((k == "secret") & value.rlike("^[0-9A-F]{1,256}$"), F.upper(hexed))
-    found = found.when(k == "email", F.concat(_shaped(F.regexp_extract(value, r"^(.*)\.", 1)), F.regexp_extract(value, r"(\.[^.]*)$", 1)))
-    found = found.when(k == "phone", _shaped(value, 1)).when(k == "iban", _shaped(value, 2))
+    found = found.when(k == "email", F.concat(_shaped(F.concat(F.regexp_extract(value, r"^(.*)\.", 1), zeros)), F.regexp_extract(value, r"(\.[^.]*)$", 1)))
+    found = found.when(k == "phone", _shaped(F.concat(value, zeros), 1)).when(k == "iban", _shaped(F.concat(value, zeros), 2))
     for gender, names in GIVEN.items():
-        found = found.when(k == f"given_{gender}", F.concat(_named(names, 0), longer))
-    found = found.when((k == "family") & value.rlike(r"\p{IsCyrillic}"), F.concat(surname("c"), longer)).when((k == "family") & value.rlike(r"^[\p{IsLatin}'’\-]+$"), F.concat(surname("l"), longer))
-    return found.otherwise(_shaped(value)), card
+        own, s = f"given_{gender}", "c" if gender[0] == "c" else "l"
+        found = found.when(k == own, F.concat(_named(names, 0), *syllables(s, 1, more.get(own, 0))))
+    found = found.when((k == "family") & value.rlike(r"\p{IsCyrillic}"), surname("c")).when((k == "family") & value.rlike(r"^[\p{IsLatin}'’\-]+$"), surname("l"))
+    found = found.when(k == "family", _shaped(F.concat(value, letters)))
+    return found.otherwise(_shaped(F.concat(value, zeros))), card
+
 
+def surrogates(keys: DataFrame, key: str = KEY, draws: int | None = None) -> DataFrame:
+    """Distinct entity keys (column __entity) in; __entity and its __surrogate out, distinct within a kind and from all originals.
 
-def surrogates(keys: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame:
-    """Distinct entity keys (column __entity) in; __entity and its __surrogate out, distinct within a kind and from all originals."""
+    Draws go on until none is left: each that follows the first ones adds symbols, so no kind or shape stays
+    full. ``draws`` is for callers who want an error after so many.
+    """
     every = materialize(keys.select("__entity").distinct().select("__entity", F.regexp_extract("__entity", r"^([^:]*):", 1).alias("__kind"), F.expr("substring(__entity, instr(__entity, ':') + 1)").alias("__value")), "entities")
-    done, left = None, every
-    for draw in range(draws):
+    done, left, draw = None, every, 0
+    while counts := {r["__kind"]: r["count"] for r in left.groupBy("__kind").count().collect()}:
+        if draw == draws:
+            raise ValueError(f"entities still share surrogates after {draws} draws")
+        more = {kind: _more(kind, draw, n) for kind, n in sorted(counts.items())}
         seed = F.concat_ws("|", F.lit(key), F.lit(draw), F.col("__entity"))
-        drawn = left.withColumn("__draw", F.lit(draw)).withColumn("__digest", F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("|")), 512)))
-        surrogate, card = _surrogate()
+        drawn = left.withColumn("__digest", F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("|")), 512)))
+        surrogate, card = _surrogate(more)
         drawn = drawn.withColumn("__card", F.when(F.col("__kind") == "card", card)).withColumn("__surrogate", surrogate).select("__entity", "__kind", "__value", "__surrogate")
         # the smallest entity keeps a surrogate that several drew, unless it is taken or stands in the texts
         taken = every.select("__kind", F.col("__value").alias("__surrogate"))
@@ -181,17 +213,15 @@ def surrogates(keys: DataFrame, key: str = KEY, draws: int = DRAWS) -> DataFrame
         owner = drawn.groupBy("__kind", "__surrogate").agg(F.min("__entity").alias("__entity")).join(taken, ["__kind", "__surrogate"], "left_anti")
         good = drawn.join(owner.select("__entity"), "__entity", "left_semi").select("__entity", "__kind", "__surrogate")
         done = materialize(good if done is None else done.union(good), f"surrogates{draw}")
-        left = every.join(done, "__entity", "left_anti")
-        if left.isEmpty():
-            return done.select("__entity", "__surrogate")
-    raise ValueError(f"entities still share surrogates after {draws} draws")
+        left, draw = every.join(done, "__entity", "left_anti"), draw + 1
+    return every.select("__entity", F.lit("").alias("__surrogate")) if done is None else done.select("__entity", "__surrogate")
 
 
 def _spelled(pattern: Column, digits: Column) -> Column:
-    """``pattern`` with its digits replaced one by one."""
+    """``pattern`` with its digits replaced one by one; more digits than it has go to its end."""
     start = F.struct(F.lit(1).alias("k"), F.lit("").alias("s"))
     step = lambda acc, c: F.when(c.rlike("^[0-9]$"), F.struct((acc["k"] + 1).alias("k"), F.concat(acc["s"], F.substring(digits, acc["k"], F.lit(1))).alias("s"))).otherwise(F.struct(acc["k"].alias("k"), F.concat(acc["s"], c).alias("s")))
-    return F.aggregate(F.split(pattern, ""), start, step)["s"]
+    return F.aggregate(F.split(pattern, ""), start, step, lambda acc: F.concat(acc["s"], F.substring(digits, acc["k"], F.length(digits))))
 
 
 def _replacement(match: Column, table: Column) -> Column:
