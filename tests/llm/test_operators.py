@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -295,6 +296,21 @@ def test_surrogates_of_many_names_and_short_numbers(spark):
     assert all(w[2] == w[6] and w[7].startswith("+1") for w in words)
 
 
+def test_surrogates_of_lines_to_fill_in_and_other_scripts(spark):
+    blank = "Password: ________ token = ---------- ---@---.com"
+    scripts = {"홍길동@예시.한국": "HANGUL", "たろう@れい.みんな": "HIRAGANA", "タロウ@レイ.コム": "KATAKANA", "محمد@مثال.موقع": "ARABIC", "דוד@דוגמה.קום": "HEBREW", "ђорђе@пример.срб": "CYRILLIC", "արամ@օրինակ.հայ": "ARMENIAN", "สมชาย@ตวอยาง.ไทย": "THAI", "𐐨𐐩𐐪𐐫@𐐬𐐭𐐮𐐯.com": "DESERET"}
+    data = [(0, blank), *enumerate(scripts, 1), (90, "Mr. Արամ Պետրոսյան"), (91, "٠١٢٣٤٥٦@٧٨٩.com"), (92, "password: ________7"), (93, "ª²º@ªª.com")]
+    got = dict(map(tuple, pii.replace_entities(spark.createDataFrame(data, "doc_id int, text string"), key="k").collect()))
+    assert len(got) == len(data) and got[0] == blank
+    for k, (mail, script) in enumerate(scripts.items(), 1):
+        assert got[k] != mail and len(got[k]) == len(mail) and got[k].rsplit(".")[-1] == mail.rsplit(".")[-1]
+        assert all(a == b == "." or a == b == "@" or unicodedata.name(b).startswith(script) for a, b in zip(mail.rsplit(".", 1)[0], got[k], strict=False)), got[k]
+        assert sum(a == b for a, b in zip(mail.split("@")[0], got[k], strict=False)) < len(mail.split("@")[0])
+    assert all(unicodedata.name(c).startswith("ARMENIAN") for c in got[90].split()[2]) and got[90] != data[-4][1]
+    assert got[91] != data[-3][1] and all(unicodedata.name(c).startswith("ARABIC-INDIC") for c in got[91].split("@")[0])
+    assert got[92] != data[-2][1] and got[93] != data[-1][1]
+
+
 def test_native_plans(spark):
     for df in (pii.replace_entities(table(spark)), toolcalls.link(*toolcalls.turns_as_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id int, turn int, role string, text string")), REPLY)):
         plan = df._jdf.queryExecution().executedPlan().toString()

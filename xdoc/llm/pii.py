@@ -2,7 +2,8 @@
 
 One pattern finds all kinds of entities. Each distinct entity gets a keyed
 surrogate of its kind that has its shape: letters become letters of the same
-script and case, digits digits, separators stay; names keep their title's
+script and case, digits digits, separators stay (what has nothing but separators,
+like a line to fill in, is no secret or address); names keep their title's
 gender; card numbers keep the Luhn property. Surrogates are checked against each
 other and against all originals, and whichever collide are drawn again, longer
 where their kind or shape is full, so distinct entities stay distinct and equal
@@ -17,7 +18,10 @@ extra columns, whatever their names, are kept.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +54,15 @@ LETTERS = {
     "[α-ωά-ώ]": "αβγδεζηθικλμνξοπρστυφχψω",
     "[Α-ΩΆ-Ώ]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     r"\p{IsHan}": "王李张刘陈杨黄赵吴周徐孙马朱胡林郭何高罗",
-    r"\p{Ll}": "àáâäçèéêëìíîïñòóôöùúûü",
-    r"\p{Lu}": "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ",
+    r"[\p{IsLatin}&&\p{Ll}]": "àáâäçèéêëìíîïñòóôöùúûü",
+    r"[\p{IsLatin}&&\p{Lu}]": "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ",
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET = r"""(?i:token|secret|api[_-]?key|passw(?:or)?d)\s{0,3}[=:]\s{0,3}["']?"""
 _PATTERNS = {
-    "secret": _SECRET + r"[A-Za-z0-9+/_\-]{8,}",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "secret": _SECRET + r"(?=[+/_\-]*+[A-Za-z0-9])[A-Za-z0-9+/_\-]{8,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])(?:[._%+\-]*+[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@|[._%+\-]++@(?=[.\-]*+[\p{L}\p{N}][\p{L}\p{N}.\-]*\.\p{L}{2}))[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
@@ -116,7 +120,7 @@ def entities(match: Column) -> Column:
 
 # ---------------------------------------------------------------- surrogates
 
-def _draw(at: Column, below: int) -> Column:
+def _draw(at: Column, below: int | Column) -> Column:
     """A keyed number for position ``at`` of the entity in column __digest."""
     place = (at % 128) * 2 + 1
     return F.conv(F.substring("__digest", place, F.lit(2)), 16, 10).cast("int") % below
@@ -126,13 +130,43 @@ def _pick(letters: str, at: Column) -> Column:
     return F.substring(F.lit(letters), _draw(at, len(letters)) + 1, F.lit(1))
 
 
+@functools.cache
+def _scripts() -> str:
+    """Runs of code points beyond ASCII of one script and case (of digits, one set), with letters to draw from, by pages of 256, as JSON."""
+    pages, members = [[] for _ in range(0x324)], {}
+    for at in range(0x80, 0x32400):
+        c = chr(at)
+        case = unicodedata.category(c)
+        if case[0] not in "LN":
+            continue
+        script = unicodedata.name(c, "?").split()[0].split("-")[0]
+        group = (at - unicodedata.decimal(c), "Nd") if case == "Nd" else (script, case if case in ("Lu", "Ll") else case[0])
+        members.setdefault(group, []).append(c)
+        runs = pages[at >> 8]
+        if runs and runs[-1][2] == group:
+            runs[-1][1] = at
+        else:
+            runs.append([at, at, group])
+    other = {"Lu": LETTERS[r"[\p{IsLatin}&&\p{Lu}]"], "Ll": LETTERS[r"[\p{IsLatin}&&\p{Ll}]"], "L": LETTERS[r"[\p{IsLatin}&&\p{Ll}]"], "N": "0123456789"}
+    drawn = {g: "".join(m[:24]) if len(m) > 3 else other[g[1]] for g, m in members.items()}
+    return json.dumps([[{"a": a, "b": b, "s": drawn[g]} for a, b, g in runs] for runs in pages], ensure_ascii=False)
+
+
+def _of_script(c: Column, at: Column) -> Column:
+    """A letter or number for one of any other script; all else stays."""
+    point = F.ascii(c)
+    pages = F.from_json(F.lit(_scripts()), "array<array<struct<a: int, b: int, s: string>>>")  # folded into a constant
+    own = F.get(F.filter(F.get(pages, F.shiftright(point, 8)), lambda r: (r["a"] <= point) & (point <= r["b"])), F.lit(0))["s"]
+    return F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.coalesce(F.substring(own, _draw(at, F.length(own)) + 1, F.lit(1)), c)).otherwise(c)
+
+
 def _shaped(value: Column, keep: int = 0) -> Column:
     """Letters for letters of their script and case, digits for digits; the first ``keep`` characters stay."""
     def one(c: Column, k: Column) -> Column:
         found = F.when(k < keep, c).when(c.rlike("^[0-9]$"), _draw(k, 10).cast("string"))
         for letters, by in LETTERS.items():
             found = found.when(c.rlike(f"^{letters}$"), _pick(by, k))
-        return found.otherwise(c)
+        return found.otherwise(_of_script(c, k))
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
