@@ -166,6 +166,20 @@ def test_byte_bpe_is_tiktokens(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def _mixed_spaces() -> list[str]:
+    """Runs of spaces, no-break spaces and other white space."""
+    rnd = random.Random(11)
+    fixed = ["x \u00a0 \u00a0 y", "x \u00a0 \u00a0\ny", "a\n \nb", " \u00a0 ", "\u00a0 \u00a0x", "a \x1c \x1c b", "a\u2003 \u3000 b"]
+    return fixed + ["".join(rnd.choice(["a", "the", "1", ".", " ", " ", "\u00a0", "\u00a0 ", " \u00a0", "\n", "\t", "\x1c", "\x85", "\u2003", "\u200b"]) for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+
+
+def test_byte_bpe_between_white_space():
+    own = bytebpe.Encoder(bytebpe.Vocabulary.load(RANKS), PATTERN)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.vocabulary.ranks, special_tokens={})
+    for t in _mixed_spaces():
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode_ordinary(t), t
+
+
 def test_prefix_table_appends_and_edits():
     vocabulary, rnd = bytebpe.Vocabulary.load(RANKS), random.Random(4)
     for t in _fuzz()[:150]:

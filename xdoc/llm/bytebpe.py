@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 
 import numpy as np
@@ -150,11 +151,15 @@ class PrefixTable:
         return self.vocabulary.back(self.last, len(self.text) if end is None else end)
 
 
+#: A space between other white space: one match of the split pattern holds both sides.
+_BETWEEN = re.compile(r" (?<=\s )\s")
+
+
 def pieces_at_spaces(text: str) -> list[str] | None:
-    """Cut before each space that stands alone. The split pattern never matches across such a cut:
-    a space joins the run after it, and white space before it ends there. None where spaces follow
-    each other or end the text, so that this doesn't hold."""
-    if "  " in text or text.endswith(" "):
+    """Cut before each space that stands alone, so that the split pattern never matches across a cut:
+    such a space joins the run after it, and white space before it ends there. None where that doesn't
+    hold: spaces follow each other, end the text or stand between other white space."""
+    if "  " in text or text.endswith(" ") or _BETWEEN.search(text):
         return None
     first, *rest = text.split(" ")
     return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
