@@ -214,6 +214,15 @@ def test_packing(spark):
         assert g.length.sum() == copies * len(ids[k])
 
 
+def test_packing_tokenizer_on_both_sides_of_long():
+    own, library = packing.Tokenizer(JSON, PATTERN), Tokenizer.from_file(JSON)
+    for unit in ("x \u00a0 \u00a0 y", "the \u00a0 \u00a0\nquick\u2003 \n", ".".join(t for t in _mixed_spaces()[:400] if "  " not in t)):
+        short = (unit * (packing.LONG // len(unit) + 1))[: packing.LONG - 1]
+        for t in (short, short + short[:5000] + "z"):
+            assert "  " not in t and own.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert own.slow is not None
+
+
 def test_packing_tokenizer_and_balance():
     own, library = packing.Tokenizer(JSON, PATTERN), Tokenizer.from_file(JSON)
     for t in _fuzz():
