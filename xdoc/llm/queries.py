@@ -42,7 +42,9 @@ REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
 
 
 def op8_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link(*toolcalls.turns_as_calls(read_table(spark, sf_dir, "conversations")), REPLY)
+    calls, results, others = toolcalls.parse_messages(read_table(spark, sf_dir, "conversations"))
+    turns = toolcalls.turns_as_calls(others)  # what holds no tool calls
+    return toolcalls.link(calls.unionByName(turns[0]), results.unionByName(turns[1]), turns[2], REPLY)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

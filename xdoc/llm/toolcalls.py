@@ -1,30 +1,34 @@
 """Tool calls linked to their results, in DataFrame expressions only.
 
 Calls and results meet in a hash join by conversation and identifier; calls are
-levelled so that each stands after those that it needs; arguments are validated
-against schemas; each call is written with its result as canonical JSON (sorted
-keys, no white space). Nothing is gathered by conversation: order is carried by
-the columns level, turn and call_id.
+levelled so that each stands after those that it needs, in rounds that double
+what is known of a chain; arguments are validated against schemas; each call is
+written with its result as canonical JSON (sorted keys, no white space). Nothing
+is gathered by conversation: order is carried by the columns level, turn and
+call_id.
 
 Defined results: of several results of a call the earliest counts (ties: the
 smallest content), the number is given; a call id that calls share in a
 conversation is reported, and each of them gets the result; a result without a
 call is an orphan; a null or empty text is a message with that content; calls
-that need each other, or something after such, have a null level; an empty table
-gives an empty table; other columns are not read.
+that need each other, or something after such, have a null level; a call without
+a conversation or an identifier is linked with nothing and has a null level; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, scratch
 
 #: Types of a schema's fields and what the arguments' own types begin with.
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
-#: Fields, at most, in all schemas together: they become literals of the plan.
-MAX_FIELDS = 2000
+#: Steps between two calls count up to this; only calls that need each other get there.
+FAR = 1 << 40
 
 CALL = "struct<id:string,name:string,arguments:variant,after:array<string>>"
 
@@ -61,53 +65,64 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
-def _wrong(fields: dict[str, tuple[str, bool]]):
-    def wrong(e: Column) -> Column:
-        kind, fits = F.schema_of_variant(e["value"]), F.lit(False)
-        for f, (t, _) in fields.items():
-            fits = fits | ((e["key"] == f) & F.coalesce(kind.rlike("^(?:" + "|".join(TYPES[t]) + ")"), F.lit(False)))
-        return ~fits
-
-    return wrong
-
-
-def _complaint(fields: dict[str, tuple[str, bool]]):
-    return lambda e: F.concat(F.when(e["key"].isin(*fields), "type of ").otherwise("unknown "), e["key"])
-
-
 def errors(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """What is wrong with a call: schemas give each tool's fields as (type, required)."""
-    if sum(map(len, schemas.values())) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} fields")
+    """What is wrong with a call: schemas give each tool's fields as (type, required). They become one literal of the plan."""
+    known = {tool: {f: {"fits": TYPES[t], "must": must} for f, (t, must) in fields.items()} for tool, fields in schemas.items()}
+    fields = F.element_at(F.from_json(F.lit(json.dumps(known)), "map<string,map<string,struct<fits:array<string>,must:boolean>>>"), name)
     parsed = F.try_parse_json(arguments)
     given = F.try_variant_get(parsed, "$", "map<string,variant>")
-    found = F.when(parsed.isNull(), F.array(F.lit("arguments are not JSON"))).when(given.isNull(), F.array(F.lit("arguments are not an object")))
-    for tool, fields in schemas.items():
-        required = F.array(*(F.lit(f) for f, (_, must) in fields.items() if must)).cast("array<string>")
-        missing = F.transform(F.array_sort(F.array_except(required, F.map_keys(given))), lambda f: F.concat(F.lit("missing "), f))
-        bad = F.transform(F.filter(F.map_entries(given), _wrong(fields)), _complaint(fields))
-        found = found.when(name == tool, F.concat(missing, F.array_sort(bad)))
-    return F.array_join(found.otherwise(F.array(F.lit("unknown tool"))), "; ")
+    missing = F.transform(F.array_sort(F.array_except(F.map_keys(F.map_filter(fields, lambda _, f: f["must"])), F.map_keys(given))), lambda f: F.concat(F.lit("missing "), f))
+    fits = lambda e: F.array_contains(F.element_at(fields, e["key"])["fits"], F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0))
+    wrong = F.filter(F.map_entries(given), lambda e: ~F.coalesce(fits(e), F.lit(False)))
+    bad = F.transform(wrong, lambda e: F.concat(F.when(F.element_at(fields, e["key"]).isNull(), "unknown ").otherwise("type of "), e["key"]))
+    found = F.when(parsed.isNull(), F.array(F.lit("arguments are not JSON"))).when(given.isNull(), F.array(F.lit("arguments are not an object"))).when(fields.isNull(), F.array(F.lit("unknown tool")))
+    return F.array_join(found.otherwise(F.concat(missing, F.array_sort(bad))), "; ")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """Each distinct (conv_id, call_id) with its level: 0 where it needs no other call that exists, else one more than the highest it needs."""
-    nodes = calls.select("conv_id", "call_id").distinct()
-    needs = calls.select("conv_id", "call_id", F.explode("after").alias("need")).distinct()
-    needs = needs.join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi")
-    needs = materialize(needs, "needs")
-    free = nodes.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done, level = materialize(free, "level0"), 0
-    while not needs.isEmpty():
-        ready_at = done.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("__l"))
-        state = needs.join(ready_at, ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(F.count(F.when(F.col("__l").isNull(), 1)).alias("open"), F.max("__l").alias("__l"))
-        level += 1
-        new = materialize(state.where(F.col("open") == 0).select("conv_id", "call_id", (F.col("__l") + 1).alias("level")), f"level{level}")
-        if new.isEmpty():
+    """Each distinct (conv_id, call_id) with its level: 0 where it needs no other call that exists, else one more than the highest it needs.
+
+    A row (call, need, steps) says that the call stands ``steps`` levels or more after ``need``, or
+    ``steps`` levels or more from the start where need is null. A call with rows of the latter kind
+    alone has its level. In each round, a need whose level is known becomes a number, and one that
+    itself waits for a single call is replaced by that call; so what is known of a chain doubles, and
+    rounds grow with the logarithm of its length. Rounds read and write tables: no plan grows with them.
+    Calls that wait for themselves never get a level, and rounds end when no call gets one.
+    """
+    spark, at = calls.sparkSession, scratch(calls.sparkSession, "levels")
+    key = ["conv_id", "call_id"]
+    nodes = calls.select(*key).where("conv_id IS NOT NULL AND call_id IS NOT NULL").distinct()
+    needs = calls.select(*key, F.explode("after").alias("need")).distinct().join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi")
+    number = lambda n: F.lit(n).cast("long")
+    state = materialize(nodes.select(*key, F.lit(None).cast("string").alias("need"), number(0).alias("steps")).union(needs.select(*key, "need", number(1))), "needs")
+    schema, k = None, 0
+    while True:
+        waits = F.col("need").isNotNull()
+        one = state.groupBy(*key).agg(F.count("need").alias("open"), F.max(F.when(~waits, F.col("steps"))).alias("floor"), F.max("need").alias("next"), F.max(F.when(waits, F.col("steps"))).alias("further"))
+        one.write.parquet(f"{at}/round={k}", compression="zstd")
+        schema = schema or one.schema
+        one = spark.read.schema(schema).parquet(f"{at}/round={k}")
+        found = one.agg(F.count_if(F.col("open") == 0).alias("done"), F.count_if(F.col("open") > 0).alias("left")).first()
+        if not (found.done and found.left):
             break
-        done = done.union(new)
-        needs = materialize(needs.join(new.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), f"needs{level}")
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+        # what is known of a need: its level (next is null), or that it waits for one call that has none yet
+        done = one.where("open = 0").select("conv_id", F.col("call_id").alias("next"), F.col("floor").alias("level"))
+        single = one.where("open = 1").join(done, ["conv_id", "next"], "left")
+        floor = F.greatest("floor", F.col("level") + F.col("further"))  # greatest skips nulls
+        known = single.select("conv_id", F.col("call_id").alias("need"), floor.alias("floor"), F.when(F.col("level").isNull(), F.col("next")).alias("next"), "further")
+        known = known.union(done.select("conv_id", "next", "level", F.lit(None).cast("string"), F.lit(None).cast("long"))).withColumn("known", F.lit(True))
+        left = one.where("open > 0").select(*key, "floor")
+        far = lambda c: F.least(F.col("steps") + F.col(c), number(FAR))
+        entry = lambda need, steps: F.struct(need.cast("string").alias("need"), steps.cast("long").alias("steps"))
+        unknown = F.col("known").isNull()
+        new = F.when(unknown, F.array(entry(F.col("need"), F.col("steps")))).when(F.col("next").isNull(), F.array(entry(F.lit(None), far("floor")))).otherwise(F.array(entry(F.lit(None), far("floor")), entry(F.col("next"), far("further"))))
+        moved = state.where(waits).join(known, ["conv_id", "need"], "left").select(*key, F.explode(new).alias("e")).select(*key, "e.need", "e.steps")
+        moved = moved.union(left.select(*key, F.lit(None).cast("string"), "floor")).groupBy(*key, "need").agg(F.max("steps").alias("steps"))
+        old, state, k = state, materialize(moved, "needs"), k + 1
+        discard(old)
+    discard(state)
+    whole = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
+    return nodes.join(whole.where("open = 0").select(*key, F.col("floor").alias("level")), key, "left")
 
 
 def link(calls: DataFrame, results: DataFrame, messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
