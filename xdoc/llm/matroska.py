@@ -131,7 +131,7 @@ def mux(payload: bytes, frame: int = FRAME, lacing: int = FIXED) -> bytes:
         raise ValueError(f"a payload is a positive multiple of {frame} bytes")
     frames = len(payload) // frame
     head = element(EBML, number(0x4286, 1) + number(0x42F7, 1) + number(0x42F2, 4) + number(0x42F3, 8) + element(0x4282, b"matroska") + number(0x4287, 4) + number(0x4285, 2))
-    scale = 1_000_000_000 // RATE * frame  # a tick is a frame
+    scale = 1_000_000_000 * frame // RATE  # a tick is a frame
     info = element(INFO, number(TIMESTAMP_SCALE, scale) + element(DURATION, np.float64(frames).astype(">f8").tobytes()))
     audio = element(AUDIO, element(SAMPLING, np.float64(RATE).astype(">f8").tobytes()) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, scale) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
