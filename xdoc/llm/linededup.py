@@ -3,7 +3,10 @@
 A HyperLogLog sketch of the sites of each line hash, merged by aggregation,
 tells on how many sites a line stands. Lines whose estimate is far above the
 threshold are boilerplate, lines far below are not, and lines near it get an
-exact distinct count. A boilerplate line goes from every document but the first
+exact distinct count. (Sketches of few sites list a 26-bit coupon for each, so an
+estimate of half of ten or less for a line on ten sites would take five pairs of
+sites with equal coupons; one of over twice ten for a line on nine would be eight
+standard errors off.) A boilerplate line goes from every document but the first
 (smallest id) that has it, so one copy of every line stays in the corpus.
 
 A line is what stands between ``\n``; it is compared without surrounding
@@ -11,9 +14,11 @@ whitespace and counts only with ``min_words`` words.
 
 Defined results: a null text stays null and has no lines; an empty text has
 none that count; a null site is no site; a line that stands twice in its first
-document stays there twice; repeated rows (same id) are each edited alike; an
-empty table gives an empty table; extra columns, whatever their names, are kept
-by ``remove_boilerplate``.
+document stays there twice; rows of one id are one document as to which is first,
+but each row loses its own lines only, whatever the texts of the others; a null
+id comes after all others, so such rows lose a line unless no row with an id has
+it; an empty table gives an empty table; extra columns, whatever their names, are
+kept by ``remove_boilerplate``.
 """
 
 from __future__ import annotations
@@ -33,13 +38,19 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """What tells a row's lines: its id and two hashes of its whole text. Rows that agree in all are edited alike."""
+    return [doc_id.cast("long"), F.xxhash64(text), F.xxhash64(F.lit(3), text)]
+
+
 def lines_of(docs: DataFrame, doc_id: str, text: str, site: str, min_words: int) -> DataFrame:
-    """A row per line that counts: two independent 64-bit hashes, document, site, position."""
-    at = F.posexplode(F.split(F.col(text).cast("string"), "\n"))
-    lines = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(site).cast("string").alias("__site"), at.alias("__pos", "__raw"))
-    lines = lines.select("__doc", "__site", "__pos", _trimmed(F.col("__raw")).alias("__line"))
+    """A row per line that counts: two independent 64-bit hashes, the row's key, site, position."""
+    body = F.col(text).cast("string")
+    key = [c.alias(n) for c, n in zip(_row_key(F.col(doc_id), body), ("__doc", "__t1", "__t2"), strict=True)]
+    lines = docs.select(*key, F.col(site).cast("string").alias("__site"), F.posexplode(F.split(body, "\n")).alias("__pos", "__raw"))
+    lines = lines.withColumn("__line", _trimmed(F.col("__raw"))).drop("__raw")
     enough = F.col("__line").rlike(r"^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d}" % (min_words - 1))
-    return lines.where(enough).select(F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit(7), "__line").alias("__h2"), "__doc", "__site", "__pos")
+    return lines.where(enough).select(F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit(7), "__line").alias("__h2"), "__doc", "__t1", "__t2", "__site", "__pos")
 
 
 def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -58,21 +69,24 @@ def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
 
 
 def removals(docs: DataFrame, found: DataFrame, doc_id: str, text: str, site: str, min_words: int) -> DataFrame:
-    """Positions of the lines to remove, per document."""
+    """Positions of the lines to remove, per row key."""
     lines = lines_of(docs, doc_id, text, site, min_words).drop("__site")
-    hit = lines.join(found, ["__h1", "__h2"]).where(F.col("__doc") != F.col("__first"))
-    return hit.groupBy("__doc").agg(F.collect_set("__pos").alias("__gone"))
+    hit = lines.join(found, ["__h1", "__h2"]).where(~F.col("__doc").eqNullSafe(F.col("__first")))
+    return hit.groupBy("__doc", "__t1", "__t2").agg(F.collect_set("__pos").alias("__gone"))
 
 
 def _edited(docs: DataFrame, doc_id: str, text: str, site: str, min_sites: int, min_words: int) -> tuple[DataFrame, Column, Column, Column]:
     """``docs`` with its removals; the text without them, its lines, and how many go."""
     found = boilerplate(docs, doc_id, text, site, min_sites, min_words)
-    owner, name = fresh(docs, "__owner"), fresh(docs, "__gone")
-    gone = removals(docs, found, doc_id, text, site, min_words).toDF(owner, name)
-    joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(owner), "left")
-    lines = F.split(F.col(f"`{text}`").cast("string"), "\n")
+    body = F.col(f"`{text}`").cast("string")
+    names = [fresh(docs, x) for x in ("__owner", "__of1", "__of2", "__gone")]
+    gone = removals(docs, found, doc_id, text, site, min_words).toDF(*names)
+    owner, t1, t2, name = names
+    key = _row_key(F.col(f"`{doc_id}`"), body)
+    joined = docs.join(gone, key[0].eqNullSafe(F.col(owner)) & (key[1] == F.col(t1)) & (key[2] == F.col(t2)), "left")
+    lines = F.split(body, "\n")
     kept = F.filter(lines, lambda _, k: ~F.array_contains(name, k))
-    return joined, F.when(F.col(name).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")), lines, F.size(name)
+    return joined, F.when(F.col(name).isNull(), body).otherwise(F.array_join(kept, "\n")), lines, F.size(name)
 
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
