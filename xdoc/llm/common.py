@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds at a time (a longer single text is one step).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,17 +108,41 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Two primes below 2 ** 31 and a base for each.
+_PRIMES = ((2147483647, 1583458089), (2147483629, 784588716))
+_POWERS: dict[tuple, np.ndarray] = {}
 
 
-def _powers(base: np.uint64, n: int, key: str) -> np.ndarray:
+def _powers(key: tuple, n: int, make) -> np.ndarray:
+    """Powers up to the n-th at least; long ones aren't kept."""
     have = _POWERS.get(key)
     if have is None or len(have) <= n:
-        step = np.full(max(n + 1, CHUNK_BYTES + 1), base, np.uint64)
+        have = make(max(n, CHUNK_BYTES) + 1)
+        if n <= CHUNK_BYTES:
+            _POWERS[key] = have
+    return have
+
+
+def _wrapping(base: np.uint64):
+    def make(n: int) -> np.ndarray:
+        step = np.full(n, base, np.uint64)
         step[0] = 1
         with np.errstate(over="ignore"):
-            have = _POWERS[key] = np.cumprod(step, dtype=np.uint64)
-    return have
+            return np.cumprod(step, dtype=np.uint64)
+
+    return make
+
+
+def _modular(base: int, prime: int):
+    def make(n: int) -> np.ndarray:
+        out, have = np.ones(n, np.uint64), 1
+        while have < n:  # each step doubles what there is
+            more = min(have, n - have)
+            out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+            have += more
+        return out
+
+    return make
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,14 +156,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of arbitrary spans of one byte array, from prefix sums of a polynomial."""
+    """Hashes of arbitrary spans of one byte array, from prefix sums of polynomials modulo two primes: 62 bits, whatever the spans' length."""
+
+    def __init__(self, data: np.ndarray):
+        n, values = len(data), data.astype(np.uint64) + np.uint64(1)
+        self.sums = []
+        for prime, base in _PRIMES:
+            terms = values * _powers((base, prime), n, _modular(base, prime))[:n]
+            if n >= 1 << 23:  # sums of so many terms would pass 2 ** 63
+                terms %= np.uint64(prime)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.sums.append((np.uint64(prime), sums, _powers((-base, prime), n, _modular(pow(base, -1, prime), prime))))
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        (p, a, x), (q, b, y) = self.sums
+        low, high = (a[ends] - a[starts]) % p * x[starts] % p, (b[ends] - b[starts]) % q * y[starts] % q
+        return mix(low | high << np.uint64(31))
+
+
+class ShortSpans:
+    """The same modulo 2 ** 64, which is faster; for spans of a few hundred bytes (very long ones of few symbols can collide)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[data] * _powers(_BASE, n, "base")[:n], out=self.sums[1:])
-        self.inverse = _powers(_BASE_INVERSE, n, "inverse")
+            np.cumsum(_BYTE[data] * _powers(("wrapping",), n, _wrapping(_BASE))[:n], out=self.sums[1:])
+        self.inverse = _powers(("inverse",), n, _wrapping(_BASE_INVERSE))
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
