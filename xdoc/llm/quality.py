@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a cost and a share of documents that it rejects, both estimated on
-a bounded sample; rules then run in descending order of rejections per cost, and
-a document that one rule rejects is not looked at by the next. The verdict is
-the conjunction of all rules, so the order changes the time only, never a result.
+Each rule has a cost, that of the features which it needs included, and a share
+of documents that it rejects, both estimated on a bounded sample; rules then run
+in descending order of rejections per cost, and a document that one rule rejects
+is not looked at by the next: what only later rules need is never computed of it.
+The verdict is the conjunction of all rules, so the order changes the time only,
+never a result. ``quality_features`` reports the base counts of every document,
+so there only what the other rules need is spared.
 
 Defined results: a null or empty text has no words and fails the base rule; ties
 in rejections per cost keep the order of ``RULES``; repeated rows get the same
@@ -13,6 +16,7 @@ row each; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import time
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +46,18 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def _within(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashes that differ from row to row."""
+    with np.errstate(over="ignore"):
+        return mix(hashes + rows.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 class Texts:
-    """A few texts as one byte array; what rules need is computed when first asked for."""
+    """A few texts as one byte array. Features are computed when a rule first asks for them, and carried over to subsets."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, found: dict[str, np.ndarray] | None = None):
         self.data, self.offsets, self.n = data, offsets - offsets[0], len(offsets) - 1
-        self._spans = None
-
-    @property
-    def spans(self) -> Spans:
-        self._spans = self._spans or Spans(self.data)
-        return self._spans
+        self.found = {} if found is None else found
 
     def subset(self, keep: np.ndarray) -> Texts:
         if keep.all():
@@ -60,27 +65,66 @@ class Texts:
         lengths = np.diff(self.offsets)[keep]
         offsets = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=offsets[1:])
-        return Texts(self.data[np.repeat(keep, np.diff(self.offsets))], offsets)
-
-    def base(self) -> dict[str, np.ndarray]:
-        starts, ends, rows = words(self.data, self.offsets)
-        found = {"n_words": np.bincount(rows, minlength=self.n)}
-        found["word_chars"] = _per_row(~SPACE[self.data] & ~_CONTINUED[self.data], self.offsets)
-        found["n_symbols"] = _per_row(_SYMBOL[self.data], self.offsets)
-        found["n_dup_lines"] = self._dup_lines()
-        grams, at = ngrams(self.spans.hash(starts, ends), rows, 3)
+        return Texts(self.data[np.repeat(keep, np.diff(self.offsets))], offsets, {k: v[keep] for k, v in self.found.items()})
+
+    def feature(self, name: str) -> np.ndarray:
+        if name not in self.found:
+            self.found[name] = getattr(self, "_" + name)()
+        return self.found[name]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.feature(name)
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return words(self.data, self.offsets)
+
+    @cached_property
+    def spans(self) -> Spans:
+        return Spans(self.data)
+
+    @cached_property
+    def word_hashes(self) -> np.ndarray:
+        return self.spans.hash(*self.words[:2])
+
+    def _n_words(self):
+        return np.bincount(self.words[2], minlength=self.n)
+
+    def _word_chars(self):
+        return _per_row(~SPACE[self.data] & ~_CONTINUED[self.data], self.offsets)
+
+    def _n_symbols(self):
+        return _per_row(_SYMBOL[self.data], self.offsets)
+
+    def _n_lines(self):
+        return _per_row(self.data == 10, self.offsets) + 1
+
+    def _capitals(self):
+        return _per_row(_UPPER[self.data], self.offsets)
+
+    def _letters(self):
+        return _per_row(_LETTER[self.data], self.offsets)
+
+    def _digits(self):
+        return _per_row(_DIGIT[self.data], self.offsets)
+
+    def _n_distinct(self):
+        rows = self.words[2]
+        _, first = np.unique(_within(self.word_hashes, rows), return_index=True)
+        return np.bincount(rows[first], minlength=self.n)
+
+    def _n_repeat_words(self):
+        rows = self.words[2]
+        grams, at = ngrams(self.word_hashes, rows, 3)
         repeated = np.zeros(len(rows), bool)
         if len(grams):
-            with np.errstate(over="ignore"):
-                keyed = mix(grams + rows[at].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            _, inverse, counts = np.unique(keyed, return_inverse=True, return_counts=True)
+            _, inverse, counts = np.unique(_within(grams, rows[at]), return_inverse=True, return_counts=True)
             again = at[counts[inverse] > 1]
             for k in range(3):
                 repeated[again + k] = True
-        found["n_repeat_words"] = np.bincount(rows[repeated], minlength=self.n)
-        return found
+        return np.bincount(rows[repeated], minlength=self.n)
 
-    def _dup_lines(self) -> np.ndarray:
+    def _n_dup_lines(self):
         """Lines with a word that equal an earlier line of their text."""
         n = len(self.data)
         breaks = np.flatnonzero(self.data == 10)
@@ -95,75 +139,75 @@ class Texts:
         rows = np.searchsorted(self.offsets, starts, "right") - 1
         wordy = nonspace[ends] > nonspace[starts]
         starts, ends, rows = starts[wordy], ends[wordy], rows[wordy]
-        with np.errstate(over="ignore"):
-            keyed = mix(self.spans.hash(starts, ends) + rows.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        _, first = np.unique(keyed, return_index=True)
+        _, first = np.unique(_within(self.spans.hash(starts, ends), rows), return_index=True)
         return np.bincount(rows, minlength=self.n) - np.bincount(rows[first], minlength=self.n)
 
 
-# Each rule: texts and their base counts in, a mask of rejected ones out.
+# Each rule: texts in, a mask of rejected ones out.
+
+def _few_words(t):
+    """Under 50 words."""
+    return t["n_words"] < 50
+
 
-def _symbols(t, base):
+def _repeated_words(t):
+    """Over half of the words stand in 3-word windows that the text has twice or more."""
+    return 2 * t["n_repeat_words"] > t["n_words"]
+
+
+def _symbols(t):
     """More than one symbol to ten words."""
-    return 10 * base["n_symbols"] > base["n_words"]
+    return 10 * t["n_symbols"] > t["n_words"]
 
 
-def _word_length(t, base):
+def _word_length(t):
     """Mean word length under 2 or over 20 characters."""
-    return (base["word_chars"] < 2 * base["n_words"]) | (base["word_chars"] > 20 * base["n_words"])
+    return (t["word_chars"] < 2 * t["n_words"]) | (t["word_chars"] > 20 * t["n_words"])
 
 
-def _repeated_lines(t, base):
+def _repeated_lines(t):
     """Over half of the lines equal an earlier one that has a word."""
-    lines = _per_row(t.data == 10, t.offsets) + 1
-    return 2 * base["n_dup_lines"] > lines
+    return 2 * t["n_dup_lines"] > t["n_lines"]
 
 
-def _shouting(t, base):
+def _shouting(t):
     """Over 40 % of the letters are capitals."""
-    return 5 * _per_row(_UPPER[t.data], t.offsets) > 2 * _per_row(_LETTER[t.data], t.offsets)
+    return 5 * t["capitals"] > 2 * t["letters"]
 
 
-def _few_letters(t, base):
+def _few_letters(t):
     """Under 60 % of the word characters are letters."""
-    return 5 * _per_row(_LETTER[t.data], t.offsets) < 3 * base["word_chars"]
+    return 5 * t["letters"] < 3 * t["word_chars"]
 
 
-def _digits(t, base):
+def _many_digits(t):
     """Over 20 % of the word characters are digits."""
-    return 5 * _per_row(_DIGIT[t.data], t.offsets) > base["word_chars"]
+    return 5 * t["digits"] > t["word_chars"]
 
 
-def _few_words(t, base):
+def _few_distinct(t):
     """Under 5 % of the words are distinct."""
-    starts, ends, rows = words(t.data, t.offsets)
-    with np.errstate(over="ignore"):
-        keyed = mix(t.spans.hash(starts, ends) + rows.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    _, first = np.unique(keyed, return_index=True)
-    return 20 * np.bincount(rows[first], minlength=t.n) < base["n_words"]
-
+    return 20 * t["n_distinct"] < t["n_words"]
 
-RULES = {f.__name__[1:]: f for f in (_symbols, _word_length, _repeated_lines, _shouting, _few_letters, _digits, _few_words)}
 
+BASE = {f.__name__[1:]: f for f in (_few_words, _repeated_words)}
+RULES = BASE | {f.__name__[1:]: f for f in (_symbols, _word_length, _repeated_lines, _shouting, _few_letters, _many_digits, _few_distinct)}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
-    return (base["n_words"] < 50) | (2 * base["n_repeat_words"] > base["n_words"])
 
-
-def judge(texts: Texts, order: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Base counts, base failures and the cascade's verdict."""
-    base = texts.base()
-    failed = base_failed(base)
-    alive = np.flatnonzero(~failed)
-    left = texts.subset(~failed)
+def cascade(texts: Texts, order: list[str], alive: np.ndarray | None = None) -> np.ndarray:
+    """Which texts pass all rules; those that one rule rejects aren't looked at by the next, nor what it needs of them computed."""
+    kept = np.ones(texts.n, bool) if alive is None else alive
+    at = np.flatnonzero(kept)
+    left = texts.subset(kept)
     for name in order:
-        if not len(alive):
+        if not len(at):
             break
-        passed = ~RULES[name](left, {k: v[alive] for k, v in base.items()})
-        alive, left = alive[passed], left.subset(passed)
+        passed = ~RULES[name](left)
+        at, left = at[passed], left.subset(passed)
     kept = np.zeros(texts.n, bool)
-    kept[alive] = True
-    return base, failed, kept
+    kept[at] = True
+    return kept
 
 
 def plan(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
@@ -179,12 +223,10 @@ def plan(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) ->
         for batch in batches:
             data, offsets = utf8(batch.column(0).slice(0, each))
             for a, b in chunks(offsets):
-                t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1])
-                base = t.base()
                 for name, rule in RULES.items():
-                    fresh = Texts(t.data, t.offsets)
+                    t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1])
                     began = time.perf_counter()
-                    rejected = rule(fresh, base)
+                    rejected = rule(t)
                     took = time.perf_counter() - began
                     yield pa.RecordBatch.from_pydict({"rule": [name], "seconds": [took], "rejected": [int(rejected.sum())], "n": [t.n]})
             return  # the rest of the partition isn't read
@@ -203,8 +245,11 @@ def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in chunks(offsets):
-                base, failed, kept = judge(Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1]), order)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
+                t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1])
+                counts = [t[k] for k in COUNTS]
+                failed = np.any([rule(t) for rule in BASE.values()], axis=0)
+                kept = cascade(t, [r for r in order if r not in BASE], ~failed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "kept"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -220,7 +265,7 @@ def quality_filter(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(at))
-            kept = [judge(Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1]), order)[2] for a, b in chunks(offsets)]
+            kept = [cascade(Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1]), order) for a, b in chunks(offsets)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
