@@ -1,10 +1,14 @@
-"""Near-duplicate groups by an exact Jaccard join of word-shingle sets.
-
-1. Equal sets collapse to one, known by a hash.
-2. Each set posts its prefix: as many of its tokens, rarest first, as any set
-   that is linked with it must share one of. How rare a token is comes from a
-   counting sketch of fixed size over all documents; any order that all sets
-   follow is right, a good one makes lists short.
+"""Near-duplicate groups by an exact Jaccard join of shingle sets.
+
+1. Equal sets collapse to one, known by a hash; where sets differ that share one
+   of two hashes, by the other.
+2. Each set posts its front tokens: those with a hash in the first ``FRONT`` of
+   the range. Their lists tell on how many sets each stands. In the order that all
+   sets follow (front tokens by that number, then the others by hash), two linked
+   sets share one of their prefixes' tokens, a prefix being one token more than a
+   set may have alone. Tokens of a single set fill most prefixes wholly; such sets
+   are linked with none and go no further. (Where a set's front tokens are fewer
+   than its prefix, it posts as many others.)
 3. Sets on a token's list gather around the list's smallest. Each set goes with
    the leader that it meets most often; these groups, cut into chunks with their
    leader in each, are joined exactly (``setjoin``), which tells most links.
@@ -15,6 +19,9 @@
    pairs of sets, and no task holds more than two blocks.
 5. Links become components.
 
+Posts travel in buckets whose number grows with them, so a task's memory doesn't;
+all the sets of one token are in one bucket, as twelve bytes each.
+
 Defined results: a null or empty text, or one without words, has no set and is
 its own component; fewer words than a shingle make one token of all of them;
 equal ids are one vertex, and each of their rows gets its own row with the number
@@ -24,12 +31,10 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Spans, chunks, materialize, mix, ngrams, partitions, sequence, utf8, words
@@ -37,12 +42,13 @@ from .components import components
 from .setjoin import SetJoin
 
 SHINGLE, PERCENT = 5, 75
-#: Counters of the sketch (a driver and each worker hold a byte of class each), in so many parts.
-COUNTERS, PARTS = 1 << 22, 64
-#: Classes of rarity for each doubling of a count.
-STEPS = 12
-#: Sets of a block.
-BLOCK = 128
+#: The part of the range of hashes, as a fraction, whose tokens come first in the order of tokens.
+FRONT = (3, 8)
+_BEHIND = np.uint64((1 << 64) * FRONT[0] // FRONT[1])
+#: Posts of a bucket, and those that a task holds before it sends them.
+BUCKET, HELD = 1 << 20, 1 << 20
+#: Sets of a block, and tokens, about.
+BLOCK, BLOCK_TOKENS = 128, 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE):
@@ -72,6 +78,12 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def set_name(tokens: np.ndarray, clashes: frozenset[int]) -> int:
+    """Its first hash; where that is one of several sets, its second."""
+    first, second = set_hash(tokens)
+    return second if first in clashes else first
+
+
 def _sets(batches):
     """(batch, row, tokens) of every text in the second column that has a set."""
     for batch in batches:
@@ -86,126 +98,211 @@ def _input(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows of documents (part null) with size and hashes of their sets, and of parts of a task's token counts (doc null)."""
+    """A row per document: its set's size, how many front tokens it has, and two hashes (null without a set)."""
     def run(batches):
-        counts, rows = np.zeros(COUNTERS, np.uint32), []
+        rows, of, ids = [], None, None
 
         def table():
-            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), pa.nulls(len(rows), pa.binary())], names=["part", "doc", "n", "h1", "h2", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc", "n", "m", "h1", "h2"])
 
-        held = []
-        ids, of = None, None
         for batch, row, tokens in _sets(batches):
             if of is not batch:
                 of, ids = batch, batch.column(0).to_pylist()
-            rows.append((ids[row], len(tokens), *(set_hash(tokens) if len(tokens) else (None, None))))
-            held.append(tokens)
+            rows.append((ids[row], len(tokens), int(np.searchsorted(tokens, _BEHIND)), *(set_hash(tokens) if len(tokens) else (None, None))))
             if len(rows) == 4096:
                 yield table()
-                np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), 1)
-                rows, held = [], []
+                rows = []
         if rows:
             yield table()
-            np.add.at(counts, (np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        for part, own in enumerate(counts.reshape(PARTS, -1)):
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([zlib.compress(own.tobytes(), 1)])], names=["part", "doc", "n", "h1", "h2", "counts"])
 
-    return docs.mapInArrow(run, "part int, doc long, n long, h1 long, h2 long, counts binary")
+    return docs.mapInArrow(run, "doc long, n long, m long, h1 long, h2 long")
 
 
-def rarity(surveyed: DataFrame) -> bytes:
-    """A class for each counter, 0 for the rarest; as many bytes as counters, whatever the input."""
-    def add(key, table):
-        total = np.zeros(COUNTERS // PARTS, np.uint64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), np.uint32)
-        # fine steps: a prefix takes the quarter with the smallest counts, so even tokens that are a little
-        # more frequent than what else shares a counter stay out of it
-        classes = np.minimum(255, STEPS * np.log2(1.0 + total)).astype(np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([zlib.compress(classes.tobytes())], pa.binary())})
+def _prefix(n, percent: int):
+    """One token more than a set of ``n`` may have alone."""
+    return n + 1 + (-percent * n) // 100
 
-    found = surveyed.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(add, "part int, classes binary")
-    classes = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
-    for row in found.collect():  # PARTS rows
-        classes[row.part] = np.frombuffer(zlib.decompress(row.classes), np.uint8)
-    return zlib.compress(classes.tobytes())
 
+# ---------------------------------------------------------------- packed records
 
+_SHARED = np.dtype([("set", "<i8"), ("token", "<u8"), ("df", "<u4")])
+_SIZES = np.dtype([("set", "<i8"), ("n", "<u4"), ("m", "<u4")])
 _POST = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<u4")])
 
 
-def postings(docs: DataFrame, classes: bytes, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """Prefix tokens of the distinct sets of each task, packed by bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _planes(values: np.ndarray, ascending: bool = False) -> bytes:
+    """First bytes of all numbers, then second bytes, and so on; of their differences where they ascend."""
+    if ascending and len(values):
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind, n: int, at: int, ascending: bool = False) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=values.dtype) if ascending else values, at + n * width
+
+
+def _pack(records: np.ndarray) -> bytes:
+    """Records, ascending by their first field."""
+    names = records.dtype.names
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(np.ascontiguousarray(records[f]), f == names[0] and records.dtype[f].kind == "u") for f in names))
+
+
+def _unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    raws = [zstandard.ZstdDecompressor().decompress(b) for b in blobs]
+    found, at = np.zeros(sum(map(len, raws)) // kind.itemsize, kind), 0
+    for raw in raws:
+        n, byte = len(raw) // kind.itemsize, 0
+        for f in kind.names:
+            found[f][at : at + n], byte = _from_planes(raw, kind[f], n, byte, f == kind.names[0] and kind[f].kind == "u")
+        at += n
+    return found
+
+
+def _dealt(records: np.ndarray, keys: np.ndarray, buckets: int):
+    """(bucket, records) for each bucket of the keys."""
+    if not len(records):
+        return
+    bucket = (keys.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket, records = bucket[order], records[order]
+    heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
+        yield int(bucket[a]), records[a:b]
+
 
+_BLOBS = "bucket int, kind int, data binary"
+
+
+def _blob_table(pairs: list[tuple[int, bytes]], kind: int = 0) -> pa.Table:
+    return pa.table({"bucket": pa.array([b for b, _ in pairs], pa.int32()), "kind": pa.array([kind] * len(pairs), pa.int32()), "data": pa.array([d for _, d in pairs], pa.binary())})
+
+
+# ---------------------------------------------------------------- lists of prefix tokens
+
+def postings(docs: DataFrame, buckets: int, clashes: frozenset[int], percent: int = PERCENT) -> DataFrame:
+    """Front tokens of distinct sets, packed by bucket, with those others that short fronts leave in a prefix."""
     def run(batches):
-        rare = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        seen, held, count = set(), [], 0
+        held, names, seen, count = [], [], set(), 0
 
         def flush():
-            posts = np.concatenate(held)
-            bucket = ((posts["token"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            posts, bucket = posts[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            heads, ends = np.r_[0, cuts], np.r_[cuts, len(posts)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), pa.array([posts[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())], names=["bucket", "posts"])
+            tokens, at = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            order = np.argsort(tokens, kind="stable")
+            every, out = np.array(names, np.int64), []
+            for bucket, part in _dealt(order, tokens[order], buckets):
+                own, local = np.unique(at[part], return_inverse=True)
+                raw = np.array([len(own), len(part)], np.uint32).tobytes() + _planes(every[own]) + _planes(tokens[part], True) + _planes(local.astype(np.uint32))
+                out.append((bucket, zstandard.ZstdCompressor(level=1).compress(raw)))
+            return _blob_table(out).to_batches()
 
         for _, _, tokens in _sets(batches):
             n = len(tokens)
             if not n:
                 continue
-            key = set_hash(tokens)
-            if key in seen:
+            name = set_name(tokens, clashes)
+            if name in seen:
                 continue
-            seen.add(key)
-            # rarest first, equals by hash: tokens are ascending already
-            order = np.argsort(rare[(tokens % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")
-            prefix = tokens[order[: n - -(-percent * n // 100) + 1]]
-            own = np.zeros(len(prefix), _POST)
-            own["token"], own["set"], own["n"] = prefix, key[0], n
-            held.append(own)
-            count += len(own)
-            if count >= 1 << 21:
-                yield flush()
-                held, count = [], 0
+            seen.add(name)
+            names.append(name)
+            held.append(tokens[: max(int(np.searchsorted(tokens, _BEHIND)), int(_prefix(n, percent)))])
+            count += len(held[-1])
+            if count >= HELD:
+                yield from flush()
+                held, names, seen, count = [], [], set(), 0
         if held:
-            yield flush()
+            yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, posts binary")
+    return docs.where("doc IS NOT NULL").mapInArrow(run, _BLOBS)
+
+
+def shared_tokens(posts: DataFrame, buckets: int) -> DataFrame:
+    """(set, token, on how many sets it stands) of the tokens that two sets or more posted, packed by set."""
+    def run(key, table):
+        names, tokens, owners, base = [], [], [], 0
+        for blob in table.column("data").to_pylist():
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            k, t = np.frombuffer(raw, np.uint32, 2).tolist()
+            own, at = _from_planes(raw, np.int64, k, 8)
+            some, at = _from_planes(raw, np.uint64, t, at, True)
+            local, _ = _from_planes(raw, np.uint32, t, at)
+            names.append(own)
+            tokens.append(some)
+            owners.append(local + np.uint32(base))
+            base += k
+        names, at = np.unique(np.concatenate(names), return_inverse=True)  # tasks that had one set each posted it
+        tokens, owners = np.concatenate(tokens), at.astype(np.uint32)[np.concatenate(owners)]
+        order = np.lexsort((owners, tokens))
+        tokens, owners = tokens[order], owners[order]
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])]
+        tokens, owners = tokens[new], owners[new]
+        head = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        sizes = np.diff(np.r_[head, len(tokens)])
+        df = np.repeat(sizes, sizes)
+        keep = df > 1
+        found = np.zeros(int(keep.sum()), _SHARED)
+        found["set"], found["token"], found["df"] = names[owners[keep]], tokens[keep], df[keep]
+        found = found[np.argsort(found["set"], kind="stable")]
+        return _blob_table([(b, _pack(part)) for b, part in _dealt(found, found["set"], buckets)])
+
+    return posts.groupBy("bucket").applyInArrow(run, _BLOBS)
+
+
+def prefixes(shared: DataFrame, sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame:
+    """Those prefix tokens of each set that others posted too, packed by token; nothing of sets whose prefix is all their own."""
+    def sizes(batches):
+        for batch in batches:
+            own = np.zeros(batch.num_rows, _SIZES)
+            for k, f in enumerate(_SIZES.names):
+                own[f] = batch.column(k).to_numpy()
+            yield from _blob_table([(b, _pack(part)) for b, part in _dealt(own, np.ascontiguousarray(own["set"]), buckets)], 1).to_batches()
+
+    def run(key, table):
+        kinds = np.array(table.column("kind").to_pylist())
+        blobs = table.column("data").to_pylist()
+        own = _unpack([b for b, k in zip(blobs, kinds, strict=True) if k], _SIZES)
+        found = _unpack([b for b, k in zip(blobs, kinds, strict=True) if not k], _SHARED)
+        own = own[np.argsort(own["set"])]
+        front = found["token"] < _BEHIND
+        found = found[np.lexsort((found["token"], np.where(front, found["df"], np.uint32(0xFFFFFFFF)), found["set"]))]
+        front = found["token"] < _BEHIND
+        at = np.searchsorted(own["set"], found["set"])
+        if not len(found):
+            return _blob_table([])
+        new = np.r_[True, found["set"][1:] != found["set"][:-1]]
+        head, of = np.flatnonzero(new), np.cumsum(new) - 1
+        rank, fronts = np.arange(len(found)) - head[of], np.add.reduceat(front.astype(np.int64), head)[of]
+        n, m = own["n"][at].astype(np.int64), own["m"][at].astype(np.int64)
+        # front tokens of this set alone come first of all
+        keep = np.where(front, rank < _prefix(n, percent) - (m - fronts), True)
+        posts = np.zeros(int(keep.sum()), _POST)
+        posts["token"], posts["set"], posts["n"] = found["token"][keep], found["set"][keep], n[keep]
+        posts = posts[np.argsort(posts["token"], kind="stable")]
+        return _blob_table([(b, _pack(part)) for b, part in _dealt(posts, np.ascontiguousarray(posts["token"]), buckets)])
+
+    return shared.union(sets.mapInArrow(sizes, _BLOBS)).groupBy("bucket").applyInArrow(run, _BLOBS)
 
 
 def lists(posts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Token lists with two sets or more: (token, set, n, leader). Leader: the smallest set of those in range of size."""
-    def run(batches):
-        parts = [np.frombuffer(b, _POST) for batch in batches for b in batch.column(0).to_pylist()]
-        if not parts:
-            return
-        posts = np.concatenate(parts)
+    def run(key, table):
+        posts = _unpack(table.column("data").to_pylist(), _POST)
         posts = posts[np.lexsort((posts["set"], posts["n"], posts["token"]))]
-        new = np.ones(len(posts), bool)
-        new[1:] = (posts["token"][1:] != posts["token"][:-1]) | (posts["set"][1:] != posts["set"][:-1])
-        posts = posts[new]  # tasks that had one set each posted it
         same = posts["token"][1:] == posts["token"][:-1]
         keep = np.zeros(len(posts), bool)
         keep[1:] |= same
         keep[:-1] |= same
         posts = posts[keep]
-        if not len(posts):
-            return
-        head = np.flatnonzero(np.r_[True, posts["token"][1:] != posts["token"][:-1]])
+        head = np.flatnonzero(np.r_[True, posts["token"][1:] != posts["token"][:-1]])[: len(posts)]
         leader, n = np.empty(len(posts), np.int64), posts["n"].astype(np.int64)
-        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(posts)], strict=True):
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(posts)][: len(head)], strict=True):
             while a < b:  # ascending sizes: each leader takes those that it may be linked with
                 end = a + int(np.searchsorted(n[a:b], n[a] * 100 // percent, "right"))
                 leader[a:end] = posts["set"][a]
                 a = end
-        for a in range(0, len(posts), 100_000):
-            p = posts[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p["token"].view(np.int64)), pa.array(p["set"]), pa.array(p["n"].astype(np.int64)), pa.array(leader[a : a + 100_000])], names=["token", "set", "n", "leader"])
+        return pa.table({"token": pa.array(posts["token"].view(np.int64)), "set": pa.array(posts["set"]), "n": pa.array(n), "leader": pa.array(leader)})
 
-    return posts.select("posts").mapInArrow(run, "token long, set long, n long, leader long")
+    return posts.groupBy("bucket").applyInArrow(run, "token long, set long, n long, leader long")
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,7 +323,7 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     names = table.column("set").to_pylist()
     texts = pa.array([own.decompress(z).decode() for z in table.column("z").to_pylist()], pa.string())
     for name, (_, _, tokens) in zip(names, _sets([pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), texts], names=["set", "text"])]), strict=True):
-        if name not in found and len(tokens) and set_hash(tokens)[0] == name:
+        if name not in found and len(tokens) and name in set_hash(tokens):
             found[name] = tokens
     return np.array(sorted(found), np.int64), [found[k] for k in sorted(found)]
 
@@ -249,21 +346,24 @@ def _join_groups(members: DataFrame, percent: int, center: str | None = None) ->
     return members.select(*columns).groupBy("gid").applyInArrow(run, "set long, root long")
 
 
-def _chunk(n, of):
-    """Which of the chunks of about BLOCK members a set belongs to."""
-    return F.pmod(F.xxhash64(F.lit(11), of), F.greatest(F.lit(1), F.ceil(n / BLOCK))).cast("int")
+def _chunk(sets: Column, tokens: Column, of: Column) -> Column:
+    """Which of the chunks of about BLOCK members and BLOCK_TOKENS tokens a set belongs to."""
+    return F.pmod(F.xxhash64(F.lit(11), of), F.greatest(F.lit(1), F.ceil(sets / BLOCK), F.ceil(tokens / BLOCK_TOKENS))).cast("int")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per document."""
     spark = docs.sparkSession
     own = _input(docs, doc_id, text)
-    surveyed = materialize(survey(own), "survey")
-    rows = surveyed.where(F.col("part").isNull()).select("doc", "n", "h1", "h2")
-    classes = rarity(surveyed)
-    buckets = partitions(spark)
-    posts = postings(own, classes, buckets, percent).repartition(buckets, "bucket")
-    listed = materialize(lists(posts, percent), "lists")
+    rows = materialize(survey(own), "survey")
+    first = materialize(rows.where("h1 IS NOT NULL AND doc IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("m").alias("m")), "sets")
+    # by the birthday bound a handful of sets even among billions
+    clashes = frozenset(r.h1 for r in first.groupBy("h1").count().where("count > 1").collect())
+    name = F.when(F.col("h1").isin(*clashes), F.col("h2")).otherwise(F.col("h1")) if clashes else F.col("h1")
+    first, rows = first.select(name.alias("set"), "doc", "n", "m"), rows.select("doc", "n", name.alias("set"))
+    buckets = max(partitions(spark), -(-(first.agg(F.sum(F.greatest("m", F.col("n") / 4))).first()[0] or 0) // BUCKET))
+    shared = shared_tokens(postings(own, int(buckets), clashes, percent), partitions(spark))
+    listed = materialize(lists(prefixes(shared, first.select("set", "n", "m"), partitions(spark), percent), percent), "lists")
 
     # 3. leaders, and exact joins around them
     size = listed.groupBy("set").agg(F.max("n").alias("n"))
@@ -271,13 +371,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leader = votes.groupBy("set").agg(F.max(F.struct(F.col("votes"), (-F.col("leader")).alias("minus"))).alias("best")).select("set", (-F.col("best.minus")).alias("leader"))
     led = size.join(leader, "set", "left").select("set", "n", F.coalesce("leader", "set").alias("leader"))
     led = materialize(led, "led")
-    members = led.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    led = led.join(members, "leader").withColumn("chunk", _chunk(F.col("members"), F.col("set")))
+    members = led.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    led = led.join(members, "leader").withColumn("chunk", _chunk(F.col("members"), F.col("tokens"), F.col("set")))
     groups = led.where((F.col("members") > 1) & (F.col("set") != F.col("leader"))).select(F.xxhash64("leader", "chunk").alias("gid"), "leader", "set")
     groups = groups.union(groups.select("gid", "leader", F.col("leader").alias("set")).distinct())
-    first = materialize(rows.where(F.col("h1").isNotNull() & F.col("doc").isNotNull()).groupBy("h1").agg(F.min("doc").alias("doc")), "first")
-    wanted = size.join(first, size["set"] == first["h1"]).select("set", "doc")
-    wanted = materialize(wanted, "wanted")
+    wanted = materialize(size.select("set").join(first, "set").select("set", "doc"), "wanted")
     texts = materialize(packed_texts(own, wanted), "texts")
     near = materialize(_join_groups(groups.join(texts, "set"), percent, "leader"), "near")
 
@@ -287,9 +385,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grown = held.groupBy("root").agg(F.count(F.lit(1)).alias("together"))
     held = held.join(grown, "root").withColumn("kin", F.when(F.col("together") > 1, F.col("root")))
     held = held.withColumn("of", F.coalesce("kin", "leader"))
-    crowd = held.groupBy("of", F.col("kin").isNull().alias("mixed")).agg(F.count(F.lit(1)).alias("crowd"))
+    crowd = held.groupBy("of", F.col("kin").isNull().alias("mixed")).agg(F.count(F.lit(1)).alias("crowd"), F.sum("n").alias("tokens"))
     held = held.withColumn("mixed", F.col("kin").isNull()).join(crowd, ["of", "mixed"])
-    held = held.select("set", "n", "kin", F.xxhash64("of", "mixed", _chunk(F.col("crowd"), F.col("set"))).alias("block"))
+    held = held.select("set", "n", "kin", F.xxhash64("of", "mixed", _chunk(F.col("crowd"), F.col("tokens"), F.col("set"))).alias("block"))
     held = materialize(held, "blocks")
     meets = listed.select("token", "set").join(held, "set").groupBy("token", "block").agg(F.max("kin").alias("kin"), F.min("n").alias("low"), F.max("n").alias("high"))
     meets = materialize(meets, "meets")
@@ -304,11 +402,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # 5. components of documents: a set stands for its smallest document
     edges = near.union(materialize(far, "far")).where("set <> root").distinct()
-    edges = edges.join(first.select(F.col("h1").alias("set"), F.col("doc").alias("a")), "set").join(first.select(F.col("h1").alias("root"), F.col("doc").alias("b")), "root").select("a", "b")
+    edges = edges.join(first.select("set", F.col("doc").alias("a")), "set").join(first.select(F.col("set").alias("root"), F.col("doc").alias("b")), "root").select("a", "b")
     # rows of one id with different texts connect their sets
-    copies = rows.where(F.col("h1").isNotNull() & F.col("doc").isNotNull()).join(first.select("h1", F.col("doc").alias("first")), "h1").select("doc", "n", "h1", "first")
-    edges = edges.union(copies.where("doc <> first").join(copies.groupBy("doc").agg(F.countDistinct("h1").alias("k")).where("k > 1"), "doc").select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    copies = rows.where("set IS NOT NULL AND doc IS NOT NULL").join(first.select("set", F.col("doc").alias("first")), "set").select("doc", "n", "set", "first")
+    edges = edges.union(copies.where("doc <> first").join(copies.groupBy("doc").agg((F.min("set") != F.max("set")).alias("several")).where("several"), "doc").select(F.col("doc").alias("a"), F.col("first").alias("b")))
     label = components(materialize(edges, "links"))
-    whole = rows.join(first.select("h1", F.col("doc").alias("first")), "h1", "left")
+    whole = rows.join(first.select("set", F.col("doc").alias("first")), "set", "left")
     whole = whole.withColumn("first", F.coalesce("first", "doc")).join(label, F.col("first") == F.col("v"), "left")
-    return whole.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "first").alias("component_id"))
+    return whole.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("label", "first")).alias("component_id"))
