@@ -71,6 +71,7 @@ def test_mux_lacings_unknown_sizes_cues_and_breaks(spark):
 @pytest.mark.parametrize("block", [128, 3])
 def test_components_of_shingle_sets(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "KIN", min(jaccard.KIN, block))
     sizes, labels = plain_components(docs())
     got = jaccard.near_duplicates(table(spark)).collect()
     assert sorted(r.doc_id for r in got) == sorted(k for k, _ in docs())

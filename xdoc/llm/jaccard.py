@@ -8,15 +8,17 @@
    sets share one of their prefixes' tokens, a prefix being one token more than a
    set may have alone. Tokens of a single set fill most prefixes wholly; such sets
    are linked with none and go no further. (Where a set's front tokens are fewer
-   than its prefix, it posts as many others.)
+   than its prefix, it posts as many others.) Those that are left do the same once
+   more among themselves, with all their tokens.
 3. Sets on a token's list gather around the list's smallest. Each set goes with
    the leader that it meets most often; these groups, cut into chunks with their
-   leader in each, are joined exactly (``setjoin``), which tells most links.
-4. Sets that are linked with each other, or else have one leader, form blocks of
+   leader in each, are joined exactly (``setjoin``), and so are those of leaders'
+   leaders, cut into chunks by chance. This tells most links, and what they connect.
+4. Large connected groups, and else sets with one leader's leader, form blocks of
    bounded size. Two blocks with a list in common are joined exactly, unless all
-   their sets are linked already. So every two sets that share a prefix token
-   are linked, or joined, or known to be in one group; no list is turned into
-   pairs of sets, and no task holds more than two blocks.
+   their sets are connected already. So every two sets that share a prefix token
+   are joined, or known to be in one group; no list is turned into pairs of sets,
+   and no task holds more than two blocks.
 5. Links become components.
 
 Posts travel in buckets whose number grows with them, so a task's memory doesn't;
@@ -44,11 +46,11 @@ from .setjoin import SetJoin
 SHINGLE, PERCENT = 5, 75
 #: The part of the range of hashes, as a fraction, whose tokens come first in the order of tokens.
 FRONT = (3, 8)
-_BEHIND = np.uint64((1 << 64) * FRONT[0] // FRONT[1])
+LAST_FRONT, LAST = np.uint64((1 << 64) * FRONT[0] // FRONT[1] - 1), np.uint64((1 << 64) - 1)
 #: Posts of a bucket, and those that a task holds before it sends them.
 BUCKET, HELD = 1 << 20, 1 << 20
-#: Sets of a block, and tokens, about.
-BLOCK, BLOCK_TOKENS = 128, 1 << 18
+#: Sets of a block, and tokens, about; sets from which a connected group has blocks of its own; tokens of one task's blocks.
+BLOCK, BLOCK_TOKENS, KIN, TASK_TOKENS = 128, 1 << 18, 32, 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE):
@@ -108,7 +110,7 @@ def survey(docs: DataFrame) -> DataFrame:
         for batch, row, tokens in _sets(batches):
             if of is not batch:
                 of, ids = batch, batch.column(0).to_pylist()
-            rows.append((ids[row], len(tokens), int(np.searchsorted(tokens, _BEHIND)), *(set_hash(tokens) if len(tokens) else (None, None))))
+            rows.append((ids[row], len(tokens), int(np.searchsorted(tokens, LAST_FRONT, "right")), *(set_hash(tokens) if len(tokens) else (None, None))))
             if len(rows) == 4096:
                 yield table()
                 rows = []
@@ -181,8 +183,8 @@ def _blob_table(pairs: list[tuple[int, bytes]], kind: int = 0) -> pa.Table:
 
 # ---------------------------------------------------------------- lists of prefix tokens
 
-def postings(docs: DataFrame, buckets: int, clashes: frozenset[int], percent: int = PERCENT) -> DataFrame:
-    """Front tokens of distinct sets, packed by bucket, with those others that short fronts leave in a prefix."""
+def postings(source: DataFrame, tokens_of, buckets: int, clashes: frozenset[int], last: np.uint64, percent: int = PERCENT) -> DataFrame:
+    """Front tokens (up to ``last``) of distinct sets, packed by bucket, with those others that short fronts leave in a prefix. ``tokens_of`` takes batches of ``source``."""
     def run(batches):
         held, names, seen, count = [], [], set(), 0
 
@@ -196,7 +198,7 @@ def postings(docs: DataFrame, buckets: int, clashes: frozenset[int], percent: in
                 out.append((bucket, zstandard.ZstdCompressor(level=1).compress(raw)))
             return _blob_table(out).to_batches()
 
-        for _, _, tokens in _sets(batches):
+        for tokens in tokens_of(batches):
             n = len(tokens)
             if not n:
                 continue
@@ -205,7 +207,7 @@ def postings(docs: DataFrame, buckets: int, clashes: frozenset[int], percent: in
                 continue
             seen.add(name)
             names.append(name)
-            held.append(tokens[: max(int(np.searchsorted(tokens, _BEHIND)), int(_prefix(n, percent)))])
+            held.append(tokens[: max(int(np.searchsorted(tokens, last, "right")), _prefix(n, percent))])
             count += len(held[-1])
             if count >= HELD:
                 yield from flush()
@@ -213,7 +215,7 @@ def postings(docs: DataFrame, buckets: int, clashes: frozenset[int], percent: in
         if held:
             yield from flush()
 
-    return docs.where("doc IS NOT NULL").mapInArrow(run, _BLOBS)
+    return source.mapInArrow(run, _BLOBS)
 
 
 def shared_tokens(posts: DataFrame, buckets: int) -> DataFrame:
@@ -248,8 +250,11 @@ def shared_tokens(posts: DataFrame, buckets: int) -> DataFrame:
     return posts.groupBy("bucket").applyInArrow(run, _BLOBS)
 
 
-def prefixes(shared: DataFrame, sets: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """Those prefix tokens of each set that others posted too, packed by token; nothing of sets whose prefix is all their own."""
+def prefixes(shared: DataFrame, sets: DataFrame, buckets: int, last: np.uint64, percent: int = PERCENT, names: bool = False) -> DataFrame:
+    """Those prefix tokens of each set that others posted too, packed by token; nothing of sets whose prefix is all their own.
+
+    ``sets``: (set, n, m), its size and how many front tokens it has. ``names``: the sets alone, not their tokens.
+    """
     def sizes(batches):
         for batch in batches:
             own = np.zeros(batch.num_rows, _SIZES)
@@ -263,24 +268,26 @@ def prefixes(shared: DataFrame, sets: DataFrame, buckets: int, percent: int = PE
         own = _unpack([b for b, k in zip(blobs, kinds, strict=True) if k], _SIZES)
         found = _unpack([b for b, k in zip(blobs, kinds, strict=True) if not k], _SHARED)
         own = own[np.argsort(own["set"])]
-        front = found["token"] < _BEHIND
+        front = found["token"] <= last
         found = found[np.lexsort((found["token"], np.where(front, found["df"], np.uint32(0xFFFFFFFF)), found["set"]))]
-        front = found["token"] < _BEHIND
+        front = found["token"] <= last
         at = np.searchsorted(own["set"], found["set"])
         if not len(found):
-            return _blob_table([])
+            return pa.table({"set": pa.array([], pa.int64())}) if names else _blob_table([])
         new = np.r_[True, found["set"][1:] != found["set"][:-1]]
         head, of = np.flatnonzero(new), np.cumsum(new) - 1
         rank, fronts = np.arange(len(found)) - head[of], np.add.reduceat(front.astype(np.int64), head)[of]
         n, m = own["n"][at].astype(np.int64), own["m"][at].astype(np.int64)
         # front tokens of this set alone come first of all
         keep = np.where(front, rank < _prefix(n, percent) - (m - fronts), True)
+        if names:
+            return pa.table({"set": np.unique(found["set"][keep])})
         posts = np.zeros(int(keep.sum()), _POST)
         posts["token"], posts["set"], posts["n"] = found["token"][keep], found["set"][keep], n[keep]
         posts = posts[np.argsort(posts["token"], kind="stable")]
         return _blob_table([(b, _pack(part)) for b, part in _dealt(posts, np.ascontiguousarray(posts["token"]), buckets)])
 
-    return shared.union(sets.mapInArrow(sizes, _BLOBS)).groupBy("bucket").applyInArrow(run, _BLOBS)
+    return shared.union(sets.select("set", "n", "m").mapInArrow(sizes, _BLOBS)).groupBy("bucket").applyInArrow(run, "set long" if names else _BLOBS)
 
 
 def lists(posts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -328,7 +335,14 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(sorted(found), np.int64), [found[k] for k in sorted(found)]
 
 
-def _join_groups(members: DataFrame, percent: int, center: str | None = None) -> DataFrame:
+def _packed_sets(batches):
+    """Tokens of the sets of (set, z)."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            yield from _unpacked(pa.Table.from_batches([batch.slice(a, 256)]))[1]
+
+
+def _join_groups(members: DataFrame, percent: int, tasks: int, center: str | None = None) -> DataFrame:
     """Rows (gid, set, z) joined within each gid: (set, root), root the first of its links there, or ``center`` if that is among them."""
     def run(key, table):
         sets, tokens = _unpacked(table)
@@ -343,7 +357,7 @@ def _join_groups(members: DataFrame, percent: int, center: str | None = None) ->
         return pa.table({"set": pa.array(sets, pa.int64()), "root": pa.array(root, pa.int64())})
 
     columns = ["gid", "set", "z", *([center] if center else [])]
-    return members.select(*columns).groupBy("gid").applyInArrow(run, "set long, root long")
+    return members.select(*columns).repartition(tasks, "gid").groupBy("gid").applyInArrow(run, "set long, root long")
 
 
 def _chunk(sets: Column, tokens: Column, of: Column) -> Column:
@@ -361,32 +375,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     clashes = frozenset(r.h1 for r in first.groupBy("h1").count().where("count > 1").collect())
     name = F.when(F.col("h1").isin(*clashes), F.col("h2")).otherwise(F.col("h1")) if clashes else F.col("h1")
     first, rows = first.select(name.alias("set"), "doc", "n", "m"), rows.select("doc", "n", name.alias("set"))
-    buckets = max(partitions(spark), -(-(first.agg(F.sum(F.greatest("m", F.col("n") / 4))).first()[0] or 0) // BUCKET))
-    shared = shared_tokens(postings(own, int(buckets), clashes, percent), partitions(spark))
-    listed = materialize(lists(prefixes(shared, first.select("set", "n", "m"), partitions(spark), percent), percent), "lists")
+    every, here = partitions(spark), own.where("doc IS NOT NULL")
+    count = lambda df, column: df.agg(F.sum(column)).first()[0] or 0
+
+    # 2. sets that may be linked: by their front tokens, then by all of their tokens
+    posts = postings(here, lambda batches: (tokens for _, _, tokens in _sets(batches)), int(max(every, -(-count(first, F.greatest("m", F.col("n") / 4)) // BUCKET))), clashes, LAST_FRONT, percent)
+    alive = materialize(prefixes(shared_tokens(posts, every), first, every, LAST_FRONT, percent, names=True).join(first, "set").select("set", "doc", "n"), "alive")
+    texts = materialize(packed_texts(own, alive.select("set", "doc")), "texts")
+    total = count(alive, "n")
+    posts = postings(texts, _packed_sets, int(max(every, -(-total // BUCKET))), clashes, LAST, percent)
+    listed = materialize(lists(prefixes(shared_tokens(posts, every), alive.withColumn("m", F.col("n")), every, LAST, percent), percent), "lists")
+    tasks = int(max(every, -(-total // TASK_TOKENS)))
 
     # 3. leaders, and exact joins around them
     size = listed.groupBy("set").agg(F.max("n").alias("n"))
     votes = listed.where("set <> leader").groupBy("set", "leader").agg(F.count(F.lit(1)).alias("votes"))
     leader = votes.groupBy("set").agg(F.max(F.struct(F.col("votes"), (-F.col("leader")).alias("minus"))).alias("best")).select("set", (-F.col("best.minus")).alias("leader"))
-    led = size.join(leader, "set", "left").select("set", "n", F.coalesce("leader", "set").alias("leader"))
-    led = materialize(led, "led")
+    led = materialize(size.join(leader, "set", "left").select("set", "n", F.coalesce("leader", "set").alias("leader")), "led")
+    led = materialize(led.join(led.select(F.col("set").alias("leader"), F.col("leader").alias("boss")), "leader", "left").select("set", "n", "leader", F.coalesce("boss", "leader").alias("boss")), "led")
     members = led.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
-    led = led.join(members, "leader").withColumn("chunk", _chunk(F.col("members"), F.col("tokens"), F.col("set")))
-    groups = led.where((F.col("members") > 1) & (F.col("set") != F.col("leader"))).select(F.xxhash64("leader", "chunk").alias("gid"), "leader", "set")
+    groups = led.join(members, "leader").where((F.col("members") > 1) & (F.col("set") != F.col("leader")))
+    groups = groups.select(F.xxhash64("leader", _chunk(F.col("members"), F.col("tokens"), F.col("set"))).alias("gid"), "leader", "set")
     groups = groups.union(groups.select("gid", "leader", F.col("leader").alias("set")).distinct())
-    wanted = materialize(size.select("set").join(first, "set").select("set", "doc"), "wanted")
-    texts = materialize(packed_texts(own, wanted), "texts")
-    near = materialize(_join_groups(groups.join(texts, "set"), percent, "leader"), "near")
-
-    # 4. blocks: linked sets by root, others by leader
-    roots = near.groupBy("set").agg(F.min("root").alias("root"))
-    held = led.join(roots, "set", "left").select("set", "n", "leader", F.coalesce("root", "set").alias("root"))
+    near = materialize(_join_groups(groups.join(texts, "set"), percent, tasks, "leader"), "near")
+    wider = led.groupBy("boss").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"), (F.min("leader") != F.max("leader")).alias("several"))
+    wider = led.join(wider.where((F.col("members") > BLOCK) | F.col("several")), "boss")
+    wider = wider.select(F.xxhash64("boss", _chunk(F.col("members"), F.col("tokens"), F.xxhash64(F.lit(5), "set"))).alias("gid"), "set")
+    near = near.union(materialize(_join_groups(wider.join(texts, "set"), percent, tasks), "wider")).where("set <> root").distinct()
+    near = materialize(near, "near")
+
+    # 4. blocks: large connected groups by their label, others by their leader's leader
+    known = components(near.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    held = led.join(known.select(F.col("v").alias("set"), "label"), "set", "left").select("set", "n", "boss", F.coalesce("label", "set").alias("root"))
     grown = held.groupBy("root").agg(F.count(F.lit(1)).alias("together"))
-    held = held.join(grown, "root").withColumn("kin", F.when(F.col("together") > 1, F.col("root")))
-    held = held.withColumn("of", F.coalesce("kin", "leader"))
-    crowd = held.groupBy("of", F.col("kin").isNull().alias("mixed")).agg(F.count(F.lit(1)).alias("crowd"), F.sum("n").alias("tokens"))
-    held = held.withColumn("mixed", F.col("kin").isNull()).join(crowd, ["of", "mixed"])
+    held = held.join(grown, "root").withColumn("kin", F.when(F.col("together") >= KIN, F.col("root")))
+    held = held.withColumn("of", F.coalesce("kin", "boss")).withColumn("mixed", F.col("kin").isNull())
+    crowd = held.groupBy("of", "mixed").agg(F.count(F.lit(1)).alias("crowd"), F.sum("n").alias("tokens"))
+    held = held.join(crowd, ["of", "mixed"])
     held = held.select("set", "n", "kin", F.xxhash64("of", "mixed", _chunk(F.col("crowd"), F.col("tokens"), F.col("set"))).alias("block"))
     held = materialize(held, "blocks")
     meets = listed.select("token", "set").join(held, "set").groupBy("token", "block").agg(F.max("kin").alias("kin"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -398,10 +423,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crowded = held.where(F.col("kin").isNull()).groupBy("block").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     pairs = materialize(pairs.union(crowded.select(F.col("block").alias("a"), F.col("block").alias("b"))), "pairs")
     sides = pairs.select(F.xxhash64("a", "b").alias("gid"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    far = _join_groups(sides.join(held.select("set", "block"), "block").join(texts, "set"), percent)
+    far = _join_groups(sides.join(held.select("set", "block"), "block").join(texts, "set"), percent, tasks)
 
     # 5. components of documents: a set stands for its smallest document
-    edges = near.union(materialize(far, "far")).where("set <> root").distinct()
+    edges = near.union(materialize(far, "far").where("set <> root")).distinct()
     edges = edges.join(first.select("set", F.col("doc").alias("a")), "set").join(first.select(F.col("set").alias("root"), F.col("doc").alias("b")), "root").select("a", "b")
     # rows of one id with different texts connect their sets
     copies = rows.where("set IS NOT NULL AND doc IS NOT NULL").join(first.select("set", F.col("doc").alias("first")), "set").select("doc", "n", "set", "first")
