@@ -321,7 +321,8 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(a, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.compress((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
 
-    return docs.mapInArrow(squeeze, "doc long, z binary").join(wanted, "doc").select("set", "z")
+    # wanted sets grow with the table, so they are never broadcast; texts pass by a hash table of them unsorted
+    return docs.mapInArrow(squeeze, "doc long, z binary").join(wanted.hint("shuffle_hash"), "doc").select("set", "z")
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
