@@ -55,12 +55,12 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"] if t["special"]}
         ranks = {bytes(map(of.__getitem__, t)): k for t, k in model["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-        self.vocabulary, self.pattern, self.slow = Vocabulary(ranks), pattern, None
+        self.ranks, self.pattern, self.slow = ranks, pattern, None  # tables for long texts only when one comes
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) < LONG:
             return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
-        self.slow = self.slow or Encoder(self.vocabulary, self.pattern)
+        self.slow = self.slow or Encoder(Vocabulary(self.ranks), self.pattern)
         parts = [(text, None)]
         for mark, k in self.special.items():
             parts = [x for t, own in parts for x in (self._cut(t, mark, k) if own is None else [(t, own)])]
@@ -151,5 +151,6 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, doc_id: str = "doc_id",
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     tokens = own.mapInArrow(tokenise, "doc_id long, doc_tokens long, crcs array<long>, tail binary")
-    dealt = tokens.withColumn("__group", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
+    # by the tail too: documents of one id, or without any, don't meet in one group unless their tails agree
+    dealt = tokens.withColumn("__group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "tail", F.spark_partition_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(arrange, SCHEMA)
