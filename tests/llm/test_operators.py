@@ -19,6 +19,7 @@ from xdoc.llm.queries import REPLY
 from xdoc.llm.setjoin import SetJoin
 
 P = public_tokenizers.path
+KEY = "a key for tests"
 JSON, RANKS, PATTERN = P("byte_bpe_50k.json"), P("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -272,7 +273,7 @@ def test_surrogates(spark):
         (4, "Mr. John Smith met Mrs. Smith, Frau Müller and господин Иван Петров; Dr. Smith"), (5, None), (6, ""),
         (7, "no entity 1.2.3 12 3.14 v1.2.3.4.5 2024-01-02 Mister x"), (8, "IBAN DE89 3704 0044 0532 0130 00 ssn 123-45-6789 8.8.8.8."), (1, "again 70.23.22.57"), (None, "ann.lee.27@mail6.example.com"),
     ]
-    got = [tuple(r) for r in pii.replace_entities(spark.createDataFrame(data, "doc_id int, text string"), count="n").collect()]
+    got = [tuple(r) for r in pii.replace_entities(spark.createDataFrame(data, "doc_id int, text string"), KEY, count="n").collect()]
     of = {k: t for k, t, _ in got if k != 1}
     one = sorted(t for k, t, _ in got if k == 1)
     assert len(got) == len(data) and of[5] is None and of[6] == "" and of[7] == data[6][1]
@@ -296,14 +297,14 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct_when_they_collide(spark):
     keys = spark.range(400).select(F.concat(F.lit("given_m:N"), F.col("id")).alias("__entity"))
-    got = pii.surrogates(keys, draws=40).collect()
+    got = pii.surrogates(keys, KEY).collect()
     assert len({r["__surrogate"] for r in got}) == len(got) == 400
 
 
 def test_surrogates_of_full_kinds(spark):
     of = lambda kind, n, start=0: spark.range(start, start + n).select(F.concat(F.lit(kind + ":"), F.format_string("N%d" if "_" in kind or kind == "family" else "%d", "id")).alias("__entity"))
     keys = of("given_m", 3000).union(of("given_f", 3000)).union(of("given_cm", 400)).union(of("family", 3000)).union(of("phone", 9000, 1000)).union(of("secret", 10).select(F.concat(F.lit("secret:_______"), F.substring("__entity", -1, 1))))
-    got = pii.surrogates(keys).collect()
+    got = pii.surrogates(keys, KEY).collect()
     assert len(got) == keys.count() == len({(r[0].split(":")[0], r[1]) for r in got})
     assert not {r[0] for r in got} & {r[0].split(":")[0] + ":" + r[1] for r in got}
     assert all(r[1].isalpha() for r in got if r[0].startswith("given"))
@@ -312,7 +313,7 @@ def test_surrogates_of_full_kinds(spark):
 def test_surrogates_of_many_names_and_short_numbers(spark):
     word = lambda k: "".join("bcdfghklmn"[int(d)] for d in f"{k:04}")
     data = [(k, f"Mr. G{word(k)} F{word(k)} met Mrs. H{word(k)} F{word(k)}, +{10000 + k % 2000}.") for k in range(4000)]
-    got = dict(map(tuple, pii.replace_entities(spark.createDataFrame(data, "doc_id int, text string")).collect()))
+    got = dict(map(tuple, pii.replace_entities(spark.createDataFrame(data, "doc_id int, text string"), KEY).collect()))
     assert len(got) == 4000
     words = [got[k].replace(",", "").rstrip(".").split() for k in range(4000)]
     for at, n in ((1, 4000), (2, 4000), (5, 4000), (7, 2000)):
@@ -336,7 +337,7 @@ def test_surrogates_of_lines_to_fill_in_and_other_scripts(spark):
 
 
 def test_native_plans(spark):
-    for df in (pii.replace_entities(table(spark)), toolcalls.link(*toolcalls.turns_as_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id int, turn int, role string, text string")), REPLY)):
+    for df in (pii.replace_entities(table(spark), KEY), toolcalls.link(*toolcalls.turns_as_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id int, turn int, role string, text string")), REPLY)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
@@ -418,6 +419,6 @@ def test_line_dedup(spark, sites):
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    for f in (matroska.store_texts, jaccard.near_duplicates, suffixdedup.remove_repeats, pii.replace_entities, quality.quality_features, quality.quality_filter, linededup.line_report, linededup.remove_boilerplate):
+    for f in (matroska.store_texts, jaccard.near_duplicates, suffixdedup.remove_repeats, lambda d: pii.replace_entities(d, KEY), quality.quality_features, quality.quality_filter, linededup.line_report, linededup.remove_boilerplate):
         assert f(empty).count() == 0, f
     assert tokencount.token_counts(empty, P("piece_bpe_32k.model")).count() == bytebpe.encode_texts(empty, RANKS, PATTERN).count() == packing.pack(empty, JSON, PATTERN).count() == 0

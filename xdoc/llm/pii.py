@@ -19,6 +19,7 @@ extra columns, whatever their names, are kept.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import math
 import unicodedata
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
-KEY = "xdoc"
 #: Draws that keep the length of a value; later ones are longer by a symbol more each.
 PLAIN = 4
 #: So many entities of a kind at most are drawn again without making names longer.
@@ -120,6 +120,13 @@ def entities(match: Column) -> Column:
 
 # ---------------------------------------------------------------- surrogates
 
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 in hexadecimal digits."""
+    block = key.encode() if len(key.encode()) <= 128 else hashlib.sha512(key.encode()).digest()
+    pad = lambda byte: F.lit(bytes(b ^ byte for b in block.ljust(128, b"\0")))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 512))), 512)
+
+
 def _draw(at: Column, below: int | Column) -> Column:
     """A keyed number for position ``at`` of the entity in column __digest."""
     place = (at % 128) * 2 + 1
@@ -224,7 +231,7 @@ def _surrogate(more: dict[str, int]) -> tuple[Column, Column]:
     return found.otherwise(_shaped(F.concat(value, zeros))), card
 
 
-def surrogates(keys: DataFrame, key: str = KEY, draws: int | None = None) -> DataFrame:
+def surrogates(keys: DataFrame, key: str, draws: int | None = None) -> DataFrame:
     """Distinct entity keys (column __entity) in; __entity and its __surrogate out, distinct within a kind and from all originals.
 
     Draws go on until none is left: each that follows the first ones adds symbols, so no kind or shape stays
@@ -236,8 +243,8 @@ def surrogates(keys: DataFrame, key: str = KEY, draws: int | None = None) -> Dat
         if draw == draws:
             raise ValueError(f"entities still share surrogates after {draws} draws")
         more = {kind: _more(kind, draw, n) for kind, n in sorted(counts.items())}
-        seed = F.concat_ws("|", F.lit(key), F.lit(draw), F.col("__entity"))
-        drawn = left.withColumn("__digest", F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("|")), 512)))
+        seed = F.concat_ws("|", F.lit(draw), F.col("__entity"))
+        drawn = left.withColumn("__digest", F.concat(_hmac(key, seed), _hmac(key, F.concat(seed, F.lit("|")))))
         surrogate, card = _surrogate(more)
         drawn = drawn.withColumn("__card", F.when(F.col("__kind") == "card", card)).withColumn("__surrogate", surrogate).select("__entity", "__kind", "__value", "__surrogate")
         # the smallest entity keeps a surrogate that several drew, unless it is taken or stands in the texts
@@ -266,22 +273,38 @@ def _replacement(match: Column, table: Column) -> Column:
     return F.when(k == "name", name).when(k.isin("card", "phone", "ssn"), _spelled(match, own)).when(k == "secret", F.concat(prefix, own)).otherwise(own)
 
 
-def replace_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with entities of its text replaced; ``count`` names an added column with their number."""
-    body = docs[text].cast("string")
-    owner, hit, names = (fresh(docs, x) for x in ("__owner", "__matches", "__table"))  # whatever columns docs has
-    found = docs.select(docs[doc_id].alias(owner), matches(body).alias(hit)).where(F.size(hit) > 0)
-    named = found.select(owner, F.explode(F.array_distinct(F.flatten(F.transform(hit, entities)))).alias("__entity"))
+_WORD_EDGE = r"(?<![\p{L}'’\-])(?=[\p{L}'’\-])|(?<=[\p{L}'’\-])(?![\p{L}'’\-])"
+
+
+def _unnamed(part: Column, table: Column) -> Column:
+    """A stretch of text between entities, without the names that its document has."""
+    words = F.transform(F.split(part, _WORD_EDGE), lambda w: F.coalesce(table[F.concat(F.lit("word:"), w)], w))
+    return F.array_join(words, "")
+
+
+def replace_entities(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with entities of its text replaced; ``count`` names an added column with their number. ``key`` is a secret of the caller."""
+    docs = docs.drop(count) if count else docs
+    body = F.col(f"`{text}`").cast("string")
+    own = lambda: [F.col(f"`{doc_id}`"), F.xxhash64(body), F.xxhash64(F.lit(3), body)]  # noqa: E731 - rows that agree in these are edited alike
+    hit, names, worded, *owner = (fresh(docs, x) for x in ("__matches", "__table", "__words", "__owner", "__of1", "__of2"))  # whatever columns docs has
+    hits = materialize(docs.withColumn(hit, matches(body)), "hits")  # the pattern runs once
+    some = hits.where(F.size(hit) > 0)
+    named = some.select(*(c.alias(n) for c, n in zip(own(), owner, strict=True)), F.explode(F.array_distinct(F.flatten(F.transform(hit, entities)))).alias("__entity")).distinct()
     named = materialize(named, "named")
     table = named.join(surrogates(named, key), "__entity")
-    table = table.distinct().groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("__entity", "__surrogate"))).alias(names))
+    value = F.expr("substring(__entity, instr(__entity, ':') + 1)")
+    words = table.where(F.col("__entity").rlike("^(given_|family:)")).groupBy(*owner, F.concat(F.lit("word:"), value).alias("__entity")).agg(F.min_by("__surrogate", "__entity").alias("__surrogate"))
+    table = table.select(*owner, "__entity", "__surrogate").union(words)
+    table = table.groupBy(*owner).agg(F.map_from_entries(F.collect_list(F.struct("__entity", "__surrogate"))).alias(names), F.max(F.col("__entity").startswith("word:")).alias(worded))
 
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    hits = docs.withColumn(hit, matches(body))
     extra = lambda n: [n.cast("long").alias(count)] if count else []
     clean = hits.where(F.size(hit) == 0).select(*keep, *extra(F.lit(0)))
-    dirty = hits.where(F.size(hit) > 0).join(table, F.col(f"`{doc_id}`").eqNullSafe(F.col(owner)))
-    parts = F.split(F.col(f"`{text}`").cast("string"), PATTERN, -1)
+    mine = own()
+    dirty = some.join(table, mine[0].eqNullSafe(F.col(owner[0])) & (mine[1] == F.col(owner[1])) & (mine[2] == F.col(owner[2])))
+    parts = F.split(body, PATTERN, -1)
+    parts = F.when(F.col(worded), F.transform(parts, lambda p: _unnamed(p, F.col(names)))).otherwise(parts)
     new = F.concat(F.transform(hit, lambda m: _replacement(m, F.col(names))), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, b)), "")
     return clean.unionByName(dirty.select(*[(joined.alias(c) if c == text else k) for c, k in zip(docs.columns, keep, strict=True)], *extra(F.size(hit))))
