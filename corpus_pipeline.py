@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from xdoc.llm import jaccard, linededup, packing, pii, quality
 from xdoc.llm.common import fresh, materialize, read_table
+from xdoc.llm.queries import pii_key
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates for personal data."""
-    return _counted(pii.replace_entities(docs))
+    return _counted(pii.replace_entities(docs, pii_key(spark)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
