@@ -167,7 +167,7 @@ def _of_script(c: Column, at: Column) -> Column:
     return F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.coalesce(F.substring(own, _draw(at, F.length(own)) + 1, F.lit(1)), c)).otherwise(c)
 
 
-def _shaped(value: Column, keep: int = 0) -> Column:
+def _shaped(value: Column, keep: Column) -> Column:
     """Letters for letters of their script and case, digits for digits; the first ``keep`` characters stay."""
     def one(c: Column, k: Column) -> Column:
         found = F.when(k < keep, c).when(c.rlike("^[0-9]$"), _draw(k, 10).cast("string"))
@@ -201,9 +201,12 @@ def _more(kind: str, draw: int, count: int) -> int:
     return max(1, math.ceil(math.log(64 * count / have, 16 if have > 1 else 10))) + max(0, draw - PLAIN)
 
 
-def _surrogate(more: dict[str, int]) -> tuple[Column, Column]:
-    """From columns __kind, __value and __digest; ``more`` tells by how many symbols a kind's values are longer."""
-    k, value = F.col("__kind"), F.col("__value")
+def _with_surrogates(drawn: DataFrame, more: dict[str, int]) -> DataFrame:
+    """``drawn`` with __surrogate, from columns __kind, __value and __digest; ``more`` tells by how many symbols a kind's values are longer.
+
+    What keeps a value's shape is drawn in one column for all kinds: the table of scripts stands once in the plan.
+    """
+    k, value, shaped = F.col("__kind"), F.col("__value"), F.col("__shaped")
 
     def by_kind(one):  # an expression of the number of added symbols
         found = one(0)
@@ -212,23 +215,22 @@ def _surrogate(more: dict[str, int]) -> tuple[Column, Column]:
         return found
 
     zeros = by_kind(lambda n: F.lit("0" * n))  # shaped as digits of the value
+    letters = by_kind(lambda n: F.repeat(F.regexp_extract(value, r"(\p{L})[^\p{L}]*$", 1), n))
+    shape = F.concat(F.when(k == "email", F.regexp_extract(value, r"^(.*)\.", 1)).otherwise(value), F.when(k == "family", letters).otherwise(zeros))
+    drawn = drawn.withColumn("__shaped", _shaped(shape, F.when(k.isin("card", "phone"), 1).when(k == "iban", 2).otherwise(0)))
     hexed = F.substring("__digest", F.lit(1), F.length(value) + F.length(zeros))
-    card = _shaped(F.concat(value, zeros), 1)
-    fixed = F.concat(F.expr("substring(__card, 1, length(__card) - 1)"), ((F.substring(F.col("__card"), -1, 1).cast("int") + 10 - _luhn(F.col("__card"))) % 10).cast("string"))
+    fixed = F.concat(F.expr("substring(__shaped, 1, length(__shaped) - 1)"), ((F.substring(shaped, -1, 1).cast("int") + 10 - _luhn(shaped)) % 10).cast("string"))
     syllables = lambda s, start, n: [_named(SURNAME[s], start + i) for i in range(n)]
     surname = lambda s: by_kind(lambda n: F.initcap(F.concat(*syllables(s, 1, 4 + n))))
-    letters = by_kind(lambda n: F.repeat(F.regexp_extract(value, r"(\p{L})[^\p{L}]*$", 1), n))
-    found = F.when(k == "card", F.when(_luhn(value) == 0, fixed).otherwise(F.col("__card")))
+    found = F.when((k == "card") & (_luhn(value) == 0), fixed)
     found = found.when(k == "ip", F.concat(F.concat_ws(".", *((_draw(F.lit(i), 254) + 1).cast("string") for i in range(4))), by_kind(lambda n: F.concat(F.lit(""), *(_draw(F.lit(4 + i), 10).cast("string") for i in range(n))))))
     found = found.when((k == "secret") & value.rlike("^[0-9a-f]{1,256}$"), hexed).when((k == "secret") & value.rlike("^[0-9A-F]{1,256}$"), F.upper(hexed))
-    found = found.when(k == "email", F.concat(_shaped(F.concat(F.regexp_extract(value, r"^(.*)\.", 1), zeros)), F.regexp_extract(value, r"(\.[^.]*)$", 1)))
-    found = found.when(k == "phone", _shaped(F.concat(value, zeros), 1)).when(k == "iban", _shaped(F.concat(value, zeros), 2))
+    found = found.when(k == "email", F.concat(shaped, F.regexp_extract(value, r"(\.[^.]*)$", 1)))
     for gender, names in GIVEN.items():
         own, s = f"given_{gender}", "c" if gender[0] == "c" else "l"
         found = found.when(k == own, F.concat(_named(names, 0), *syllables(s, 1, more.get(own, 0))))
     found = found.when((k == "family") & value.rlike(r"\p{IsCyrillic}"), surname("c")).when((k == "family") & value.rlike(r"^[\p{IsLatin}'’\-]+$"), surname("l"))
-    found = found.when(k == "family", _shaped(F.concat(value, letters)))
-    return found.otherwise(_shaped(F.concat(value, zeros))), card
+    return drawn.withColumn("__surrogate", found.otherwise(shaped))
 
 
 def surrogates(keys: DataFrame, key: str, draws: int | None = None) -> DataFrame:
@@ -245,8 +247,7 @@ def surrogates(keys: DataFrame, key: str, draws: int | None = None) -> DataFrame
         more = {kind: _more(kind, draw, n) for kind, n in sorted(counts.items())}
         seed = F.concat_ws("|", F.lit(draw), F.col("__entity"))
         drawn = left.withColumn("__digest", F.concat(_hmac(key, seed), _hmac(key, F.concat(seed, F.lit("|")))))
-        surrogate, card = _surrogate(more)
-        drawn = drawn.withColumn("__card", F.when(F.col("__kind") == "card", card)).withColumn("__surrogate", surrogate).select("__entity", "__kind", "__value", "__surrogate")
+        drawn = materialize(_with_surrogates(drawn, more).select("__entity", "__kind", "__value", "__surrogate"), f"drawn{draw}")
         # the smallest entity keeps a surrogate that several drew, unless it is taken or stands in the texts
         taken = every.select("__kind", F.col("__value").alias("__surrogate"))
         if done is not None:
