@@ -129,3 +129,15 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("t2").collect()) == [10, 10] and [r.n for r in spark.table("t3").collect()] == [20]
     lines.write_stream(docs, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.text(str(tmp_path / "out")).count() == 20
+
+
+def test_wide_ranges(spark):
+    row = _one(spark, "xd_seconds(xd_duration('P300Y')), xd_approx_ns(xd_duration('P300Y')), xd_instant('9999-01-01T00:00:00Z'), xd_instant('0001-01-01T00:00:00Z'), xd_instant_text(xd_instant('2262-01-01T00:00:00Z')), xd_total(xd_duration('P1000Y'), 'days'), xd_instant_plus(xd_instant('2025-01-01T00:00:00Z'), xd_duration('P500Y')), xd_is_negative(xd_duration('-P9999Y'))")
+    assert list(row) == [9460800000.0, None, None, None, "2262-01-01T00:00:00.000000000Z", 365000, None, True]
+
+
+@pytest.mark.parametrize("mode, want", [("floor", "-2.6 2.5 -3 2"), ("ceil", "-2.5 2.6 -2 3"), ("trunc", "-2.5 2.5 -2 2"), ("even", "-2.6 2.6 -2 2"), ("half", "-2.6 2.6 -3 3")])
+def test_rounding(spark, mode, want):
+    row = _one(spark, f"xd_round(-2.55BD, 1, '{mode}'), xd_round(2.55BD, 1, '{mode}'), xd_round(-2.5BD, 0, '{mode}'), xd_round(2.5BD, 0, '{mode}'), xd_round(0.0000000001BD, 12, '{mode}'), xd_round(-155BD, -1, '{mode}')")
+    assert [float(x) for x in row[:4]] == [float(x) for x in want.split()] and float(row[4]) == 1e-10
+    assert int(row[5]) == {"floor": -160, "ceil": -150, "trunc": -150, "even": -160, "half": -160}[mode]

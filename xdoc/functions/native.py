@@ -7,6 +7,8 @@ shared parts are Python helpers that write SQL.
 
 from __future__ import annotations
 
+import itertools
+
 INSTANT = "STRUCT<ns: BIGINT, tz: SMALLINT>"
 DURATION = "STRUCT<years: INT, months: INT, days: INT, hours: INT, minutes: INT, ns: BIGINT, negative: BOOLEAN>"
 
@@ -34,23 +36,37 @@ def path(v: str, p: str) -> str:
     return f"aggregate({p}, {v}, (xd_at, xd_p) -> {step('xd_at', 'xd_p')})"
 
 
+_NAMES = itertools.count()
+
+
 def let(expression: str, body) -> str:
     """``body`` of a name for the value of ``expression``, which is then computed once."""
-    return f"get(transform(array({expression}), xd_let -> {body('xd_let')}), 0)"
+    name = f"xd_let{next(_NAMES)}"
+    return f"get(transform(array({expression}), {name} -> {body(name)}), 0)"
+
+
+#: What wraps typed scalars in navigable documents, and their types.
+TAGS = {"$n": "bigint", "$m": "decimal128", "$u": "uuid", "$i": "instant", "$p": "duration", "$b": "binary", "$t": "undefined"}
 
 
 def kind(v: str) -> str:
-    s = f"schema_of_variant({v})"
-    wrapped = " ".join(f"WHEN {s} LIKE 'OBJECT<`{t}`: %' AND {s} NOT LIKE '%,%' THEN '{n}'" for t, n in (("$n", "bigint"), ("$m", "decimal128"), ("$u", "uuid"), ("$i", "instant"), ("$p", "duration"), ("$b", "binary"), ("$t", "undefined")))
-    return f"CASE WHEN {v} IS NULL THEN NULL WHEN {s} = 'VOID' THEN 'null' WHEN {s} = 'BOOLEAN' THEN 'boolean' WHEN {s} = 'STRING' THEN 'string' WHEN {s} LIKE 'ARRAY%' THEN 'array' {wrapped} WHEN {s} LIKE 'OBJECT%' THEN 'object' WHEN {s} = 'BINARY' THEN 'binary' ELSE 'number' END"
+    """The type's name: the schema is looked at once."""
+    wrapped = lambda s: " ".join(f"WHEN {s} LIKE 'OBJECT<`{t}`: %' AND {s} NOT LIKE '%,%' THEN '{n}'" for t, n in TAGS.items())
+    return let(f"schema_of_variant({v})", lambda s: f"CASE WHEN {s} IS NULL THEN NULL WHEN {s} = 'STRING' THEN 'string' WHEN {s} = 'VOID' THEN 'null' WHEN {s} = 'BOOLEAN' THEN 'boolean' WHEN {s} LIKE 'ARRAY%' THEN 'array' WHEN NOT {s} LIKE 'OBJECT%' THEN if({s} = 'BINARY', 'binary', 'number') {wrapped(s)} ELSE 'object' END")
+
+
+def members(v: str) -> str:
+    """The members of an object as a map; null for anything else, wrapped scalars too."""
+    tags = ", ".join(f"'{t}'" for t in TAGS)
+    return let(f"try_variant_get({v}, '$', 'map<string,variant>')", lambda m: f"if(size({m}) = 1 AND array_contains(array({tags}), map_keys({m})[0]), NULL, {m})")
 
 
 def is_object(v: str) -> str:
-    return f"coalesce({kind(v)} = 'object', false)"
+    return f"{members(v)} IS NOT NULL"
 
 
 def keys(v: str) -> str:
-    return f"if({is_object(v)}, transform(map_keys(try_variant_get({v}, '$', 'map<string,variant>')), xd_k -> if(startswith(xd_k, '$$'), substring(xd_k, 2), xd_k)), NULL)"
+    return f"transform(map_keys({members(v)}), xd_k -> if(startswith(xd_k, '$$'), substring(xd_k, 2), xd_k))"
 
 
 def inner(v: str, tag: str, sql: str) -> str:
@@ -60,6 +76,7 @@ def inner(v: str, tag: str, sql: str) -> str:
 # ---------------------------------------------------------------- instants and durations
 
 DAY_NS, MINUTE_NS, SECOND_NS = 86_400_000_000_000, 60_000_000_000, 1_000_000_000
+UNITS = {"nanoseconds": 1, "microseconds": 1000, "milliseconds": 1_000_000, "seconds": SECOND_NS, "minutes": MINUTE_NS, "hours": 60 * MINUTE_NS, "days": DAY_NS}
 
 
 def utc(i: str) -> str:
@@ -67,8 +84,14 @@ def utc(i: str) -> str:
 
 
 def total(p: str) -> str:
-    days = f"(CAST({p}.years AS BIGINT) * 365 + CAST({p}.months AS BIGINT) * 30 + {p}.days)"
-    return f"(({days} * {DAY_NS}L + (CAST({p}.hours AS BIGINT) * 60 + {p}.minutes) * {MINUTE_NS}L + {p}.ns) * if({p}.negative, -1, 1))"
+    """Nanoseconds as a decimal: no duration is too long."""
+    seconds = lambda x: f"((((CAST({x}.years AS BIGINT) * 365 + CAST({x}.months AS BIGINT) * 30 + {x}.days) * 24 + {x}.hours) * 60 + {x}.minutes) * 60)"
+    return let(p, lambda x: f"CAST(CAST({seconds(x)} AS DECIMAL(20,0)) * {SECOND_NS} + {x}.ns AS DECIMAL(38,0)) * if({x}.negative, -1, 1)")
+
+
+def long(decimal: str) -> str:
+    """A BIGINT; null beyond its range."""
+    return f"try_cast({decimal} AS BIGINT)"
 
 
 def instant(ns: str, tz: str = "0") -> str:
@@ -95,22 +118,29 @@ _I = "'^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.]([0-9]{1,
 _P = "'^(-?)P(?=[0-9]|T[0-9])(?:([0-9]+)W|(?:([0-9]+)Y)?(?:([0-9]+)M)?(?:([0-9]+)D)?(?:T(?=[0-9])(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+)(?:[.]([0-9]{1,9})[0-9]*)?S)?)?)$'"
 
 
-def _group(t: str, pattern: str, n: int) -> str:
-    return f"regexp_extract({t}, {pattern}, {n})"
+def _groups(t: str, pattern: str, n: int) -> str:
+    """All groups of a whole match, by one run of the pattern."""
+    return f"split(regexp_replace({t}, {pattern}, '" + ",".join(f"$' || '{k}" for k in range(1, n + 1)) + "'), ',', -1)"
 
 
 def parse_instant(t: str) -> str:
-    g = lambda n: _group(t, _I, n)
-    at = f"try_to_timestamp(concat({g(1)}, ' ', {g(2)}), 'yyyy-MM-dd HH:mm:ss')"
-    digits = f"replace({g(4)}, ':', '')"
-    tz = f"if({g(4)} IN ('', 'Z'), 0, CAST(concat(substring({digits}, 1, 1), '1') AS INT) * (CAST(substring({digits}, 2, 2) AS INT) * 60 + CAST(substring({digits}, 4, 2) AS INT)))"
-    return f"CASE WHEN {t} RLIKE {_I} AND {at} IS NOT NULL THEN {instant(f'unix_seconds({at}) * {SECOND_NS}L + CAST(rpad({g(3)}, 9, {chr(39)}0{chr(39)}) AS BIGINT)', tz)} END"
+    """Null for what is no instant, and beyond the range of BIGINT nanoseconds (1677 to 2262)."""
+    def body(g: str) -> str:
+        digits = f"replace({g}[3], ':', '')"
+        tz = f"if({g}[3] IN ('', 'Z'), 0, CAST(concat(substring({digits}, 1, 1), '1') AS INT) * (CAST(substring({digits}, 2, 2) AS INT) * 60 + CAST(substring({digits}, 4, 2) AS INT)))"
+        at = f"try_to_timestamp(concat({g}[0], ' ', {g}[1]), 'yyyy-MM-dd HH:mm:ss')"
+        ns = f"CAST(unix_seconds({at}) AS DECIMAL(20,0)) * {SECOND_NS} + CAST(rpad({g}[2], 9, '0') AS BIGINT)"
+        return let(long(ns), lambda x: f"if({x} IS NULL, NULL, {instant(x, tz)})")
+
+    return let(t, lambda x: f"CASE WHEN {x} RLIKE {_I} THEN {let(_groups(x, _I, 4), body)} END")
 
 
 def parse_duration(t: str) -> str:
-    g = lambda n: f"coalesce(try_cast(nullif({_group(t, _P, n)}, '') AS BIGINT), 0)"
-    body = duration(g(3), g(4), f"{g(5)} + 7 * {g(2)}", g(6), g(7), f"{g(8)} * {SECOND_NS}L + CAST(rpad({_group(t, _P, 9)}, 9, '0') AS BIGINT)", f"{_group(t, _P, 1)} = '-'")
-    return f"CASE WHEN {t} RLIKE {_P} THEN {body} END"
+    def body(g: str) -> str:
+        n = lambda k: f"coalesce(try_cast(nullif({g}[{k - 1}], '') AS BIGINT), 0)"
+        return duration(n(3), n(4), f"{n(5)} + 7 * {n(2)}", n(6), n(7), f"{n(8)} * {SECOND_NS}L + CAST(rpad({g}[8], 9, '0') AS BIGINT)", f"{g}[0] = '-'")
+
+    return let(t, lambda x: f"CASE WHEN {x} RLIKE {_P} THEN {let(_groups(x, _P, 9), body)} END")
 
 
 def duration_text(p: str) -> str:
@@ -131,18 +161,30 @@ def combine(a: str, b: str, sign: str) -> str:
     raw = {f: f"(CAST({a}.{f} AS BIGINT) * if({a}.negative, -1, 1) {sign} CAST({b}.{f} AS BIGINT) * if({b}.negative, -1, 1))" for f in fields}
     low, high = f"least({', '.join(raw.values())})", f"greatest({', '.join(raw.values())})"
     same = duration(*(f"abs({raw[f]})" for f in fields), f"{low} < 0")
-    return f"if({low} >= 0 OR {high} <= 0, {same}, {of_ns(f'({total(a)} {sign} {total(b)})')})"
+    return f"if({low} >= 0 OR {high} <= 0, {same}, {let(long(f'{total(a)} {sign} {total(b)}'), of_ns)})"
 
 
 def number_of(v: str) -> str:
     """Any numeric scalar as a decimal: scale 10."""
-    return f"CASE {kind(v)} WHEN 'number' THEN try_variant_get({v}, '$', 'decimal(38,10)') WHEN 'bigint' THEN try_cast({inner(v, '$n', 'string')} AS DECIMAL(38,10)) WHEN 'decimal128' THEN try_cast({inner(v, '$m', 'string')} AS DECIMAL(38,10)) END"
+    return let(kind(v), lambda k: f"CASE {k} WHEN 'number' THEN try_variant_get({v}, '$', 'decimal(38,10)') WHEN 'bigint' THEN try_cast({inner(v, '$n', 'string')} AS DECIMAL(38,10)) WHEN 'decimal128' THEN try_cast({inner(v, '$m', 'string')} AS DECIMAL(38,10)) END")
 
 
 def text_of(v: str) -> str:
     """A string as it is, other scalars as document text, containers as JSON."""
     instant_text = f"concat(regexp_replace({clock(inner(v, '$i', 'bigint'))}, '[.]?0+$', ''), 'Z')"
-    return f"CASE {kind(v)} WHEN 'string' THEN try_variant_get({v}, '$', 'string') WHEN 'bigint' THEN concat({inner(v, '$n', 'string')}, 'n') WHEN 'decimal128' THEN concat({inner(v, '$m', 'string')}, 'm') WHEN 'uuid' THEN {inner(v, '$u', 'string')} WHEN 'instant' THEN {instant_text} WHEN 'duration' THEN {inner(v, '$p', 'string')} WHEN 'undefined' THEN 'undefined' ELSE to_json({v}) END"
+    return let(kind(v), lambda k: f"CASE {k} WHEN 'string' THEN try_variant_get({v}, '$', 'string') WHEN 'bigint' THEN concat({inner(v, '$n', 'string')}, 'n') WHEN 'decimal128' THEN concat({inner(v, '$m', 'string')}, 'm') WHEN 'uuid' THEN {inner(v, '$u', 'string')} WHEN 'instant' THEN {instant_text} WHEN 'duration' THEN {inner(v, '$p', 'string')} WHEN 'undefined' THEN 'undefined' ELSE to_json({v}) END")
+
+
+def rounded(x: str, n: str, mode: str) -> str:
+    """Exact: by remainders of decimals, never by way of a double. Nothing to do from 10 digits on, the scale."""
+    def body(u: str) -> str:
+        a = f"abs({x})"
+        down, rest = f"({a} - {a} % {u})", f"({a} % {u})"
+        signed = lambda y: f"CAST(sign({x}) AS DECIMAL(1,0)) * {y}"
+        up = f"({down} + {u})"
+        return f"CAST(CASE {mode} WHEN 'floor' THEN {x} - pmod({x}, {u}) WHEN 'ceil' THEN {x} + pmod(-{x}, {u}) WHEN 'trunc' THEN {signed(down)} WHEN 'even' THEN {signed(f'if({rest} > {u} - {rest} OR ({rest} = {u} - {rest} AND {down} % (2 * {u}) <> 0), {up}, {down})')} ELSE {signed(f'if({rest} >= {u} - {rest}, {up}, {down})')} END AS DECIMAL(38,10))"
+
+    return f"if({n} >= 10, {x}, {let(f'CAST(power(10, -{n}) AS DECIMAL(38,10))', body)})"
 
 
 _UUID_RE = "'^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$'"
@@ -166,14 +208,14 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "xd_extract_timestamp": (f"{_V}, p ARRAY<STRING>", "TIMESTAMP", "xd_to_timestamp(xd_extract_instant(v, p))"),
     "xd_extract_duration": (f"{_V}, p ARRAY<STRING>", DURATION, let(inner(path("v", "p"), "$p", "string"), parse_duration)),
     # predicates
-    "xd_exists": (f"{_V}, k STRING", "BOOLEAN", f"CASE WHEN v IS NULL OR k IS NULL THEN NULL ELSE {field('v', 'k')} IS NOT NULL END"),
-    "xd_exists_any": (f"{_V}, ks ARRAY<STRING>", "BOOLEAN", f"CASE WHEN v IS NULL OR ks IS NULL THEN NULL ELSE coalesce(arrays_overlap({keys('v')}, ks), false) END"),
-    "xd_exists_all": (f"{_V}, ks ARRAY<STRING>", "BOOLEAN", f"CASE WHEN v IS NULL OR ks IS NULL THEN NULL ELSE coalesce(size(array_except(ks, {keys('v')})) = 0, false) END"),
+    "xd_exists": (f"{_V}, k STRING", "BOOLEAN", let("v", lambda x: f"CASE WHEN {x} IS NULL OR k IS NULL THEN NULL ELSE {field(x, 'k')} IS NOT NULL END")),
+    "xd_exists_any": (f"{_V}, ks ARRAY<STRING>", "BOOLEAN", let("v", lambda x: f"CASE WHEN {x} IS NULL OR ks IS NULL THEN NULL ELSE coalesce(arrays_overlap({keys(x)}, ks), false) END")),
+    "xd_exists_all": (f"{_V}, ks ARRAY<STRING>", "BOOLEAN", let("v", lambda x: f"CASE WHEN {x} IS NULL OR ks IS NULL THEN NULL ELSE coalesce(size(array_except(ks, {keys(x)})) = 0, false) END")),
     # generators and lengths
     "xd_array_length": (_V, "INT", "coalesce(size(try_variant_get(v, '$', 'array<variant>')), if(v IS NULL, NULL, raise_error('not an array')))"),
     "xd_elements": (_V, "ARRAY<VARIANT>", "coalesce(try_variant_get(v, '$', 'array<variant>'), if(v IS NULL, NULL, raise_error('not an array')))"),
     "xd_elements_text": (_V, "ARRAY<STRING>", f"transform(xd_elements(v), xd_e -> {text_of('xd_e')})"),
-    "xd_keys": (_V, "ARRAY<STRING>", f"coalesce({keys('v')}, if(v IS NULL, NULL, raise_error('not an object')))"),
+    "xd_keys": (_V, "ARRAY<STRING>", let("v", lambda x: f"coalesce({keys(x)}, if({x} IS NULL, NULL, raise_error('not an object')))")),
     # instants
     "xd_instant": ("t STRING", INSTANT, parse_instant("t")),
     "xd_instant_text": (_I1, "STRING", f"concat({clock('i.ns')}, {zone('i.tz')})"),
@@ -184,31 +226,31 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "xd_epoch": (_I1, "DOUBLE", f"{utc('i')} / CAST({SECOND_NS}L AS DOUBLE)"),
     "xd_from_epoch": ("x DOUBLE", INSTANT, f"if(x IS NULL, NULL, {instant(f'CAST(x * {SECOND_NS}L AS BIGINT)')})"),
     "xd_instant_cmp": (f"a {INSTANT}, b {INSTANT}", "INT", f"CAST(sign({utc('a')} - {utc('b')}) AS INT)"),
-    "xd_instant_plus": (f"{_I1}, {_P1}", INSTANT, f"if(i IS NULL OR p IS NULL, NULL, {instant('i.ns + ' + total('p'), 'i.tz')})"),
-    "xd_instant_minus": (f"{_I1}, {_P1}", INSTANT, f"if(i IS NULL OR p IS NULL, NULL, {instant('i.ns - ' + total('p'), 'i.tz')})"),
+    "xd_instant_plus": (f"{_I1}, {_P1}", INSTANT, let(long("i.ns + " + total("p")), lambda x: f"if({x} IS NULL, NULL, {instant(x, 'i.tz')})")),
+    "xd_instant_minus": (f"{_I1}, {_P1}", INSTANT, let(long("i.ns - " + total("p")), lambda x: f"if({x} IS NULL, NULL, {instant(x, 'i.tz')})")),
     "xd_between": (f"a {INSTANT}, b {INSTANT}", DURATION, f"if(a IS NULL OR b IS NULL, NULL, {of_ns(f'({utc(chr(97))} - {utc(chr(98))})')})"),
     # durations
     "xd_duration": ("t STRING", DURATION, parse_duration("t")),
     "xd_duration_text": (_P1, "STRING", duration_text("p")),
-    "xd_approx_ns": (_P1, "BIGINT", total("p")),
+    "xd_approx_ns": (_P1, "BIGINT", long(total("p"))),
     "xd_duration_cmp": (f"a {DURATION}, b {DURATION}", "INT", f"CAST(sign({total('a')} - {total('b')}) AS INT)"),
     "xd_same_fields": (f"a {DURATION}, b {DURATION}", "BOOLEAN", "a = b"),
     "xd_duration_plus": (f"a {DURATION}, b {DURATION}", DURATION, f"if(a IS NULL OR b IS NULL, NULL, {combine('a', 'b', '+')})"),
     "xd_duration_minus": (f"a {DURATION}, b {DURATION}", DURATION, f"if(a IS NULL OR b IS NULL, NULL, {combine('a', 'b', '-')})"),
     "xd_negate": (_P1, DURATION, f"if(p IS NULL, NULL, {duration('p.years', 'p.months', 'p.days', 'p.hours', 'p.minutes', 'p.ns', 'NOT p.negative')})"),
     "xd_abs": (_P1, DURATION, f"if(p IS NULL, NULL, {duration('p.years', 'p.months', 'p.days', 'p.hours', 'p.minutes', 'p.ns')})"),
-    "xd_seconds": (_P1, "DOUBLE", f"{total('p')} / CAST({SECOND_NS}L AS DOUBLE)"),
+    "xd_seconds": (_P1, "DOUBLE", f"CAST({total('p')} AS DOUBLE) / CAST({SECOND_NS}L AS DOUBLE)"),
     "xd_from_seconds": ("x DOUBLE", DURATION, f"if(x IS NULL, NULL, {of_ns(f'CAST(x * {SECOND_NS}L AS BIGINT)')})"),
-    "xd_total": (f"{_P1}, unit STRING", "BIGINT", f"{total('p')} div CASE unit WHEN 'nanoseconds' THEN 1L WHEN 'microseconds' THEN 1000L WHEN 'milliseconds' THEN 1000000L WHEN 'seconds' THEN {SECOND_NS}L WHEN 'minutes' THEN {MINUTE_NS}L WHEN 'hours' THEN {60 * MINUTE_NS}L WHEN 'days' THEN {DAY_NS}L END"),
-    "xd_scale": (f"{_P1}, n BIGINT", DURATION, f"if(p IS NULL OR n IS NULL, NULL, {of_ns(f'({total(chr(112))} * n)')})"),
-    "xd_divide": (f"{_P1}, n BIGINT", DURATION, f"if(p IS NULL OR n IS NULL, NULL, {of_ns(f'({total(chr(112))} div n)')})"),
+    "xd_total": (f"{_P1}, unit STRING", "BIGINT", let(total("p"), lambda n: let("CASE unit " + " ".join(f"WHEN '{u}' THEN CAST({k} AS DECIMAL(20,0))" for u, k in UNITS.items()) + " END", lambda u: long(f"({n} - {n} % {u}) / {u}")))),
+    "xd_scale": (f"{_P1}, n BIGINT", DURATION, let(long(f"CAST({total('p')} AS DECIMAL(28,0)) * CAST(n AS DECIMAL(10,0))"), lambda x: f"if({x} IS NULL, NULL, {of_ns(x)})")),
+    "xd_divide": (f"{_P1}, n BIGINT", DURATION, let(long(total("p")), lambda x: f"if({x} IS NULL OR n IS NULL, NULL, {of_ns(f'({x} div n)')})")),
     "xd_is_zero": (_P1, "BOOLEAN", f"{total('p')} = 0"),
     "xd_is_negative": (_P1, "BOOLEAN", f"{total('p')} < 0"),
-    "xd_normalised": (_P1, DURATION, f"if(p IS NULL, NULL, {duration('0', '0', f'abs({total(chr(112))}) div {DAY_NS}L', f'abs({total(chr(112))}) % {DAY_NS}L div {60 * MINUTE_NS}L', f'abs({total(chr(112))}) % {60 * MINUTE_NS}L div {MINUTE_NS}L', f'abs({total(chr(112))}) % {MINUTE_NS}L', f'{total(chr(112))} < 0')})"),
+    "xd_normalised": (_P1, DURATION, let(long(total("p")), lambda x: f"if({x} IS NULL, NULL, {duration('0', '0', f'abs({x}) div {DAY_NS}L', f'abs({x}) % {DAY_NS}L div {60 * MINUTE_NS}L', f'abs({x}) % {60 * MINUTE_NS}L div {MINUTE_NS}L', f'abs({x}) % {MINUTE_NS}L', f'{x} < 0')})")),
     # decimals, bigints, uuids
     "xd_decimal": ("t STRING", "DECIMAL(38,10)", "try_cast(regexp_replace(t, 'm$', '') AS DECIMAL(38,10))"),
     "xd_is_decimal": ("t STRING", "BOOLEAN", "t RLIKE '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?m?$'"),
-    "xd_round": ("x DECIMAL(38,10), n INT, mode STRING", "DECIMAL(38,10)", "CAST(CASE mode WHEN 'ceil' THEN ceil(x * CAST(power(10, n) AS DECIMAL(20,0))) / power(10, n) WHEN 'floor' THEN floor(x * CAST(power(10, n) AS DECIMAL(20,0))) / power(10, n) WHEN 'even' THEN bround(x * CAST(power(10, n) AS DECIMAL(20,0)), 0) / power(10, n) WHEN 'trunc' THEN sign(x) * floor(abs(x) * CAST(power(10, n) AS DECIMAL(20,0))) / power(10, n) ELSE round(x * CAST(power(10, n) AS DECIMAL(20,0)), 0) / power(10, n) END AS DECIMAL(38,10))"),
+    "xd_round": ("x DECIMAL(38,10), n INT, mode STRING", "DECIMAL(38,10)", rounded("x", "n", "mode")),
     "xd_bigint": ("t STRING", "DECIMAL(38,0)", "try_cast(regexp_replace(t, 'n$', '') AS DECIMAL(38,0))"),
     "xd_uuid4": ("", "STRING", "uuid()"),
     "xd_uuid7": ("t TIMESTAMP", "STRING", "concat(regexp_replace(lpad(lower(hex(unix_millis(t))), 12, '0'), '^(.{8})(.{4})$', '$1-$2'), '-7', substring(uuid(), 16, 3), '-', substring(uuid(), 20))"),

@@ -92,7 +92,7 @@ def build_array(df: DataFrame, *values, plain: bool = False) -> Column:
 
 
 def from_row(df: DataFrame, *columns: str, plain: bool = False, omit_empty: bool = False) -> Column:
-    """A row as a VARIANT object in column order; ``omit_empty`` leaves null columns out."""
+    """A row as a VARIANT object, whose members a VARIANT keeps sorted by key (``members`` writes them in column order); ``omit_empty`` leaves null columns out."""
     names = columns or df.columns
     if not omit_empty:
         return F.parse_json(members([(c, typed(df, F.col(f"`{c}`"), plain)) for c in names]))

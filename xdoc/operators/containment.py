@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..binary import navigable
-from ..functions.native import field, inner, is_object, keys, kind
+from ..functions.native import field, inner, is_object, keys, kind, let
 from ..text import parse
 from ..values import type_name
 
@@ -60,4 +60,4 @@ class _Compiler:
 def contains(column: str, doc) -> Column:
     """Whether the VARIANT column contains a document given as a value or as text; null where the column is."""
     doc = parse(doc) if isinstance(doc, str) else doc
-    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN {_Compiler().contains(column, doc)} END")
+    return F.expr(let(column, lambda v: f"CASE WHEN {v} IS NOT NULL THEN {_Compiler().contains(v, doc)} END"))

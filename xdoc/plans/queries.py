@@ -244,6 +244,12 @@ _sql("j4_recursive", "WITH RECURSIVE s(n, i) AS (SELECT 0, xd_instant_text(xd_in
 _sql("w1_window", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY xd_utc_ns(xd_extract_instant(v, array('at'))), event_id) AS r FROM docs", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events")
 _sql("u1_union_all", "SELECT xd_field_text(v, 'type') AS t FROM docs UNION ALL SELECT r_name FROM region", "SELECT event_type AS t FROM events UNION ALL SELECT r_name FROM region")
 _sql("u2_set_ops", "SELECT xd_decode(d) AS t FROM (SELECT xd_parse(concat(user_id, 'n')) AS d FROM events EXCEPT SELECT xd_parse(concat(c_custkey * 2, 'n')) FROM customer)", "SELECT user_id || 'n' AS t FROM (SELECT user_id FROM events EXCEPT SELECT c_custkey * 2 FROM customer)")
+_sql("j5_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN docs ON try_variant_get(xd_field(v, 'user'), '$', 'bigint') = c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
+_sql("j6_outer", "SELECT c_custkey, count(event_id) AS n, max(xd_field_text(v, 'type')) AS last FROM customer LEFT JOIN docs ON try_variant_get(xd_field(v, 'user'), '$', 'bigint') = c_custkey GROUP BY c_custkey", "SELECT c_custkey, count(event_id) AS n, max(event_type) AS last FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
+_sql("j7_inequality", "SELECT n_name, r_name FROM nation JOIN region ON xd_instant_cmp(xd_from_epoch(CAST(n_nationkey AS DOUBLE)), xd_from_epoch(CAST(r_regionkey AS DOUBLE))) < 0", "SELECT n_name, r_name FROM nation JOIN region ON n_nationkey < r_regionkey")
+_sql("w2_lag_and_running_sum", f"SELECT event_id, xd_duration_text(xd_between(at, lag(at) OVER w)) AS since, sum(price) OVER w AS so_far FROM (SELECT event_id, user_id, xd_extract_instant(v, array('at')) AS at, CAST(xd_numeric(xd_field(v, 'price')) AS DOUBLE) > 50 AS dear, CAST(xd_numeric(xd_field(v, 'id')) AS BIGINT) AS price FROM docs) WINDOW w AS (PARTITION BY user_id ORDER BY at.ns, event_id)", """SELECT event_id, CASE WHEN d IS NULL THEN NULL WHEN d = 0 THEN 'PT0S' ELSE 'PT' || d // 1000000 || CASE WHEN d % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(d % 1000000 AS VARCHAR), 6, '0') || '000' END || 'S' END AS since, so_far FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS d, CAST(sum(event_id) OVER w AS BIGINT) AS so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+_sql("u3_union", "SELECT xd_field_text(v, 'type') AS t FROM docs UNION SELECT r_name FROM region", "SELECT event_type AS t FROM events UNION SELECT r_name FROM region")
+_sql("u4_intersect", "SELECT xd_decode(d) AS t FROM (SELECT xd_parse(concat(user_id, 'n')) AS d FROM events INTERSECT SELECT xd_parse(concat(c_custkey * 2, 'n')) FROM customer)", "SELECT user_id || 'n' AS t FROM (SELECT user_id FROM events INTERSECT SELECT c_custkey * 2 FROM customer)")
 
 # ---------------------------------------------------------------- instants I1-I11
 _T = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -268,12 +274,15 @@ _sql("d5_d6_seconds", f"SELECT event_id, xd_seconds({_P}) AS s, xd_approx_ns(xd_
 _sql("d7_total", f"SELECT event_id, xd_total({_P}, 'hours') AS h, xd_total({_P}, 'minutes') AS m FROM events", f"SELECT event_id, {_PD} // 3600 AS h, {_PD} // 60 AS m FROM events")
 _sql("d8_scale", f"SELECT event_id, xd_approx_ns(xd_scale({_P}, 3)) AS a, xd_approx_ns(xd_divide({_P}, 2)) AS b, xd_is_zero({_P}) AS z, xd_is_negative(xd_negate({_P})) AS n FROM events", f"SELECT event_id, {_PD} * 3000000000 AS a, {_PD} * 500000000 AS b, {_PD} = 0 AS z, {_PD} > 0 AS n FROM events")
 _sql("d9_normalised", f"SELECT event_id, xd_normalised(xd_from_seconds(CAST({_PD.replace('%', '%')} AS DOUBLE))).hours AS h FROM events", f"SELECT event_id, CAST({_PD} % 86400 // 3600 AS INT) AS h FROM events")
+_sql("d5_long_seconds", "SELECT event_id, xd_seconds(xd_duration(concat('P', 285 + user_id % 30, 'Y'))) AS s, xd_duration_cmp(xd_duration('P300Y'), xd_duration(concat('P', 285 + user_id % 30, 'Y'))) AS c, xd_total(xd_duration(concat('-P', 285 + user_id % 30, 'YT1.5S')), 'seconds') AS t FROM events", "SELECT event_id, CAST((285 + user_id % 30) * 31536000 AS DOUBLE) AS s, CAST(sign(15 - user_id % 30) AS INT) AS c, -(285 + user_id % 30) * 31536000 - 1 AS t FROM events")
 
 # ---------------------------------------------------------------- decimals, bigints, uuids M1-M10
 _sql("m1_decimal", "SELECT event_id, CAST(xd_decimal(concat(CAST(value AS DECIMAL(18,2)), 'm')) AS DOUBLE) AS x, xd_is_decimal('1.5m') AS ok, xd_is_decimal('x') AS bad FROM events", "SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS x, true AS ok, false AS bad FROM events")
 _sql("m2_arithmetic", "SELECT event_id, CAST(xd_decimal('0.1') + xd_decimal('0.2') AS DOUBLE) AS s, CAST(xd_decimal(CAST(user_id AS STRING)) % 7 AS INT) AS r FROM events", "SELECT event_id, CAST(0.3 AS DOUBLE) AS s, CAST(user_id % 7 AS INT) AS r FROM events")
 _sql("m3_compare", "SELECT count(*) AS n FROM events WHERE xd_decimal(concat(user_id, '.00m')) = xd_decimal(concat(user_id, 'm')) AND xd_decimal(CAST(user_id AS STRING)) < 50", "SELECT count(*) AS n FROM events WHERE user_id < 50")
 _sql("m5_round", "SELECT event_id, CAST(xd_round(CAST(value AS DECIMAL(38,10)), 1, 'floor') AS DOUBLE) AS f, CAST(xd_round(CAST(user_id AS DECIMAL(38,10)) / 10, 0, 'ceil') AS BIGINT) AS c FROM events", "SELECT event_id, CAST(floor(CAST(value AS DECIMAL(38,10)) * 10) / 10 AS DOUBLE) AS f, (user_id + 9) // 10 AS c FROM events")
+_X = "CAST(concat('1234567890123456', lpad(event_id % 1000, 3, '0'), '.1', event_id % 10) AS DECIMAL(38,10))"
+_sql("m5_round_exact", f"SELECT event_id, CAST(xd_round({_X}, 1, 'floor') AS STRING) AS f, CAST(xd_round({_X}, 1, 'half') AS STRING) AS h, CAST(xd_round(-{_X}, 1, 'floor') AS STRING) AS m FROM events", "SELECT event_id, '1234567890123456' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '.1000000000' AS f, '1234567890123456' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || CASE WHEN event_id % 10 >= 5 THEN '.2000000000' ELSE '.1000000000' END AS h, '-1234567890123456' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || CASE WHEN event_id % 10 > 0 THEN '.2000000000' ELSE '.1000000000' END AS m FROM events")
 _sql("m7_bigint", "SELECT event_id, CAST(xd_bigint(concat(event_id, '000000000000000000n')) AS STRING) AS x FROM events", "SELECT event_id, CASE WHEN event_id = 0 THEN '0' ELSE event_id || '000000000000000000' END AS x FROM events")
 _sql("m8_m9_uuids", "SELECT count(*) AS n, count(DISTINCT a) AS a FROM (SELECT xd_uuid4() AS a, xd_uuid7(timestamp_seconds(1704067200 + event_id)) AS b FROM events) WHERE xd_uuid_version(a) = 4 AND xd_uuid_version(b) = 7", "SELECT count(*) AS n, count(*) AS a FROM events")
 _sql("m10_uuid_bytes", "SELECT event_id, xd_uuid_text(xd_uuid_bytes(upper(concat('550e8400-e29b-41d4-a716-', lpad(event_id, 12, '0'))))) AS u, xd_is_uuid('550e8400e29b41d4a716446655440000') AS bad FROM events", "SELECT event_id, '550e8400-e29b-41d4-a716-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS u, false AS bad FROM events")
