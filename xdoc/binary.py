@@ -15,11 +15,16 @@ NULL, FALSE, TRUE, INT8, INT16, INT32, INT64, UINT64, FLOAT32, FLOAT64, BIGINT,
 STRING, BINARY, DATE, UUID_, INSTANT, DURATION, ARRAY, OBJECT, UNDEF = 0x20, 0x21, 0x30, 0x31, 0x32, 0x33, 0x40, 0x41, 0xF0
 
 
+_SMALL = [bytes([n]) for n in range(128)]
+
+
 class DecodeError(ValueError):
     pass
 
 
 def varint(n: int) -> bytes:
+    if n < 128:
+        return _SMALL[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -34,29 +39,33 @@ def encode(value) -> bytes:
     return bytes(out)
 
 
+_DOUBLE = struct.Struct("<d")
+
+
 def _sized(out: bytearray, tag: int, raw: bytes) -> None:
     out.append(tag)
     out += varint(len(raw)) + raw
 
 
 def _encode(value, out: bytearray) -> None:
+    """What is commonest comes first."""
     kind = type_name(value)
+    if kind == "string":
+        return _sized(out, STRING, value.encode("utf-8", "surrogatepass"))
+    if kind == "number":
+        return _number(value, out)
     if kind == "null":
         out.append(NULL)
     elif kind == "boolean":
         out.append(TRUE if value else FALSE)
     elif kind == "undefined":
         out.append(UNDEF)
-    elif kind == "number":
-        _number(value, out)
     elif kind == "bigint":
         digits = str(abs(value)).encode()
         out.append(BIGINT)
         out += varint(len(digits) << 1 | (value < 0)) + digits
     elif kind == "decimal128":
         _sized(out, DECIMAL, str(value).encode())
-    elif kind == "string":
-        _sized(out, STRING, value.encode("utf-8", "surrogatepass"))
     elif kind == "binary":
         _sized(out, BINARY, value)
     elif kind == "uuid":
@@ -91,7 +100,7 @@ def _number(value, out: bytearray) -> None:
             return
         if value != int(value) or (value == 0 and math.copysign(1, value) < 0) or abs(value) > 1 << 53:
             out.append(FLOAT64)
-            out += struct.pack("<d", value)
+            out += _DOUBLE.pack(value)
             return
         value = int(value)
     for tag, code, bits in ((INT8, "<b", 7), (INT16, "<h", 15), (INT32, "<i", 31), (INT64, "<q", 63)):
@@ -103,7 +112,7 @@ def _number(value, out: bytearray) -> None:
     out += struct.pack("<d", float(value))
 
 
-_FIXED = {INT8: "<b", INT16: "<h", INT32: "<i", INT64: "<q", UINT64: "<Q", FLOAT32: "<f", FLOAT64: "<d"}
+_FIXED = {t: struct.Struct(c) for t, c in ((INT8, "<b"), (INT16, "<h"), (INT32, "<i"), (INT64, "<q"), (UINT64, "<Q"), (FLOAT32, "<f"), (FLOAT64, "<d"))}
 _CONSTANT = {NULL: None, FALSE: False, TRUE: True, UNDEF: UNDEFINED}
 
 
@@ -118,6 +127,9 @@ class _Reader:
         return self.data[self.at - n : self.at]
 
     def size(self) -> int:
+        if self.at < len(self.data) and self.data[self.at] < 128:
+            self.at += 1
+            return self.data[self.at - 1]
         n = shift = 0
         while True:
             b = self.take(1)[0]
@@ -132,15 +144,15 @@ class _Reader:
         tag = self.take(1)[0]
         if tag in _CONSTANT:
             return _CONSTANT[tag]
-        if tag in _FIXED:
-            return struct.unpack(_FIXED[tag], self.take(struct.calcsize(_FIXED[tag])))[0]
+        if fixed := _FIXED.get(tag):
+            return fixed.unpack(self.take(fixed.size))[0]
+        if tag == STRING:
+            return self.take(self.size()).decode("utf-8", "surrogatepass")
         if tag == BIGINT:
             n = self.size()
             return BigInt(("-" if n & 1 else "") + self.take(n >> 1).decode())
         if tag == DECIMAL:
             return Decimal(self.take(self.size()).decode())
-        if tag == STRING:
-            return self.take(self.size()).decode("utf-8", "surrogatepass")
         if tag == BINARY:
             return self.take(self.size())
         if tag == DATE:
@@ -253,19 +265,19 @@ def _navigable(value):
     return value
 
 
+_MAKE = {"$n": BigInt, "$m": Decimal, "$u": UUID, "$i": lambda v: Instant(int(v)), "$p": Duration.parse, "$b": bytes.fromhex, "$t": lambda _: UNDEFINED}
+
+
 def from_navigable(text: str):
     """The document of such JSON (also of plain JSON whose keys don't begin with $)."""
-    return _from(json.loads(text, parse_float=float))
-
-
-def _from(value):
-    if isinstance(value, list):
-        return [_from(v) for v in value]
-    if not isinstance(value, dict):
-        return value
-    if len(value) == 1:
-        (tag, inner), = value.items()
-        make = {"$n": BigInt, "$m": Decimal, "$u": UUID, "$i": lambda v: Instant(int(v)), "$p": Duration.parse, "$b": bytes.fromhex, "$t": lambda _: UNDEFINED}.get(tag)
-        if make:
+    return json.loads(text, object_hook=_unwrapped)
+
+
+def _unwrapped(members: dict):
+    if len(members) == 1:
+        (tag, inner), = members.items()
+        if make := _MAKE.get(tag):
             return make(inner)
-    return {(k[1:] if k.startswith("$$") else k): _from(v) for k, v in value.items()}
+    if any(k.startswith("$$") for k in members):
+        return {(k[1:] if k.startswith("$$") else k): v for k, v in members.items()}
+    return members

@@ -52,10 +52,19 @@ _DURATION = re.compile(r"-?P[0-9TYMWDHS.]+(?![\w$])")
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?([nm])?(?![\w$.])")
 _WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _PLAIN = {q: re.compile(rf"[^{q}\\]*") for q in "\"'`"}
+# What most members are: a key and its colon; a number or string without escapes, right before what ends it.
+_MEMBER = re.compile(r"""(?:([A-Za-z_$][A-Za-z0-9_$]*)|"([^"\\]*)"|'([^'\\]*)'):""")
+_SIMPLE = re.compile(r"""(?:(-?(?:0|[1-9]\d*)(\.\d+)?)([nm]?)|"([^"\\]*)"|'([^'\\]*)')(?=[,\]}])""", re.ASCII)
 _ESCAPES = {'"': '"', "'": "'", "`": "`", "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 _WORDS = {"true": True, "false": False, "null": None, "undefined": UNDEFINED}
 
 
+def _number(digits: str, inexact: str | None) -> int | float:
+    if inexact or len(digits) > 17:
+        return float(digits)
+    return int(digits) if abs(int(digits)) <= 1 << 53 else float(digits)
+
+
 class _Parser:
     def __init__(self, text: str, options: ParseOptions):
         self.text, self.options, self.at = text, options, 0
@@ -66,6 +75,9 @@ class _Parser:
 
     def skip(self) -> str:
         """The next significant character, empty at the end."""
+        c = self.text[self.at : self.at + 1]
+        if c and c not in " \t\r\n/":
+            return c
         m = self.space.match(self.text, self.at)
         if m:
             self.at = m.end()
@@ -83,6 +95,15 @@ class _Parser:
     def value(self, depth: int):
         if depth > self.options.max_depth:
             self.fail("depth", "nested too deeply")
+        if m := _SIMPLE.match(self.text, self.at):
+            digits, fraction, suffix, double, single = m.groups()
+            if digits is None:
+                if len(value := single if double is None else double) <= self.options.max_string:
+                    self.at = m.end()
+                    return value
+            elif suffix != "m" and not (suffix and fraction):
+                self.at = m.end()
+                return BigInt(digits) if suffix else _number(digits, fraction)
         c = self.skip()
         if not c:
             self.fail("unexpected_end", "unexpected end")
@@ -124,9 +145,7 @@ class _Parser:
                 if len(value.as_tuple().digits) > 34 or not -6143 - 33 <= value.as_tuple().exponent <= 6144:
                     self.fail("decimal", "a decimal has 34 digits at most", at)
                 return value
-            if fraction or exponent or len(digits) > 17:
-                return float(digits)
-            return int(digits) if abs(int(digits)) <= 1 << 53 else float(digits)
+            return _number(digits, fraction or exponent)
         m = _WORD.match(text, at)
         if m and m[0] in _WORDS:
             self.at = m.end()
@@ -208,10 +227,15 @@ class _Parser:
             self.at += 1
             return found
         while True:
-            key = self.key()
-            if self.skip() != ":":
-                self.fail("unexpected_token", "expected ':'")
-            self.at += 1
+            m = _MEMBER.match(self.text, self.at) if self.options.unquoted_keys else None
+            if m and m[1] not in _WORDS and m.end() - self.at <= self.options.max_string:
+                key = m[m.lastindex]
+                self.at = m.end()
+            else:
+                key = self.key()
+                if self.skip() != ":":
+                    self.fail("unexpected_token", "expected ':'")
+                self.at += 1
             found[key] = self.value(depth + 1)
             if not self.more("}"):
                 return found
@@ -250,11 +274,14 @@ def parse_or(text: str, default, options: ParseOptions = ParseOptions()):
 # ---------------------------------------------------------------- writing
 
 _BARE = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*\Z")
+_SPECIAL, _SPECIAL_ASCII = re.compile(r"""[\x00-\x1f\\"'`]"""), re.compile(r"""[^ -~]|[\\"'`]""")
 _CONTROL = {"\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
 def quote(text: str, options: WriteOptions = WriteOptions()) -> str:
     """In the quotes that need fewest escapes: single before double before backtick."""
+    if not (_SPECIAL_ASCII if options.ascii else _SPECIAL).search(text):
+        return f'"{text}"' if options.json else f"'{text}'"
     mark = '"' if options.json else min("'\"`", key=text.count)
     out = []
     for c in text:
@@ -320,6 +347,10 @@ def scalar_text(value, options: WriteOptions = WriteOptions()) -> str:
 
 
 def _write(value, options: WriteOptions, margin: str) -> str:
+    if type(value) is str:
+        return quote(value, options)
+    if type(value) is int or type(value) is float:
+        return number(value)
     if not isinstance(value, (dict, list)):
         return scalar_text(value, options)
     if not value:
