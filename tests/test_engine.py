@@ -141,3 +141,20 @@ def test_rounding(spark, mode, want):
     row = _one(spark, f"xd_round(-2.55BD, 1, '{mode}'), xd_round(2.55BD, 1, '{mode}'), xd_round(-2.5BD, 0, '{mode}'), xd_round(2.5BD, 0, '{mode}'), xd_round(0.0000000001BD, 12, '{mode}'), xd_round(-155BD, -1, '{mode}')")
     assert [float(x) for x in row[:4]] == [float(x) for x in want.split()] and float(row[4]) == 1e-10
     assert int(row[5]) == {"floor": -160, "ceil": -150, "trunc": -150, "even": -160, "half": -160}[mode]
+
+
+def test_decimals_keep_every_digit(spark):
+    got = _one(spark, "xd_decimal_calc('100', 'divide', '3'), xd_decimal_calc('0.1', 'add', '0.2'), xd_decimal_calc('19.99', 'multiply', '3'), xd_decimal_abs('-1e-30m'), xd_decimal_fixed('1e-30', 32), xd_decimal_precision('3.14159', 3), xd_decimal_round('-2.5', 0, 'floor')")
+    assert list(got) == ["33." + "3" * 32, "0.3", "59.97", "1e-30", "0." + "0" * 29 + "100", "3.14", "-3"]
+    assert list(_one(spark, "xd_decimal_cmp('0.00000000001m', '0m'), xd_decimal_calc('1', 'divide', '0'), xd_decimal_calc('x', 'add', '1'), xd_decimal_calc('1', 'no', '1'), xd_decimal_abs(CAST(NULL AS STRING)), xd_decimal_abs('1e7000')")) == [1, None, None, None, None, None]
+
+
+def test_times_keep_their_microseconds(spark):
+    xdoc.register(spark)
+    df = spark.createDataFrame([(1704251028465744999,), (-1,)], "ns long").select(F.parse_json(F.concat(F.lit('{"at":{"$i":'), "ns", F.lit("}}"))).alias("v"))
+    assert [r.us for r in events.event_time(df, "at").select(F.unix_micros("event_time").alias("us")).collect()] == [1704251028465744, -1]
+
+
+def test_members_set_and_appended(spark):
+    got = _one(spark, "xd_decode(xd_with_member(xd_parse('{a:1,b:2}'), 'a', xd_parse('3n'))), xd_decode(xd_appended(xd_parse('[]'), xd_parse('{}'))), xd_stored_keys(xd_parse('{z:1,a:2}')), xd_appended(xd_parse('[]'), CAST(NULL AS BINARY))")
+    assert list(got) == ["{a:3n,b:2}", "[{}]", ["z", "a"], None]

@@ -11,7 +11,7 @@ from functools import partial
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DataType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, StringType
 
 from .. import binary, text, values
 from ..text import ParseError, ParseOptions, WriteOptions
@@ -27,8 +27,8 @@ def _each(one: Callable, kind: DataType, arguments: int = 1):
         def run(a: pd.Series) -> pd.Series:
             return pd.Series([cell(x) for x in a], dtype=object)
     else:
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([cell(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+        def run(*columns: pd.Series) -> pd.Series:
+            return pd.Series([cell(*xs) for xs in zip(*columns, strict=True)], dtype=object)
     return F.pandas_udf(run, kind)
 
 
@@ -91,6 +91,33 @@ def _path_text(b: bytes, path) -> str | None:
     return None if found is None else found if isinstance(found, str) else text.stringify(found)
 
 
+def _round_trips(b: bytes) -> bool:
+    return binary.encode(text.parse(text.stringify(binary.decode(b)))) == b
+
+
+def _with_member(d: bytes, key: str, member: bytes) -> bytes:
+    """A key that is there keeps its place; a new one comes last."""
+    whole = binary.decode(d)
+    if not isinstance(whole, dict):
+        raise ValueError("not an object")
+    return binary.encode(whole | {key: binary.decode(member)})
+
+
+def _appended(d: bytes, element: bytes) -> bytes:
+    whole = binary.decode(d)
+    if not isinstance(whole, list):
+        raise ValueError("not an array")
+    return binary.encode([*whole, binary.decode(element)])
+
+
+def _keys(d: bytes) -> list[str]:
+    """In stored order."""
+    whole = binary.decode(d)
+    if not isinstance(whole, dict):
+        raise ValueError("not an object")
+    return list(whole)
+
+
 UDFS = {
     "xd_parse": parser(),
     "xd_try_parse": parser(attempt=True),
@@ -110,5 +137,9 @@ UDFS = {
     "xd_contains": _each(lambda a, b: values.contains(binary.decode(a), binary.decode(b)), BooleanType(), 2),
     "xd_equal": _each(lambda a, b: values.equal(binary.decode(a), binary.decode(b)), BooleanType(), 2),
     "xd_add": _each(_added, BinaryType(), 2),
+    "xd_round_trips": _each(_round_trips, BooleanType()),
+    "xd_with_member": _each(_with_member, BinaryType(), 3),
+    "xd_appended": _each(_appended, BinaryType(), 2),
+    "xd_stored_keys": _each(_keys, ArrayType(StringType())),
     "xd_path_text_of": _each(_path_text, StringType(), 2),
 }

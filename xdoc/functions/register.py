@@ -7,6 +7,7 @@ import weakref
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from . import decimals
 from .codec import UDFS
 from .native import DEFINITIONS
 
@@ -17,7 +18,7 @@ _FIRST = ("xd_typeof", "xd_text", "xd_field", "xd_element", "xd_path", "xd_numer
 def register(spark: SparkSession) -> SparkSession:
     """Make the functions known to a session, once."""
     if spark not in _DONE:
-        for name, udf in UDFS.items():
+        for name, udf in (UDFS | decimals.UDFS).items():
             spark.udf.register(name, udf)
         for name in [*_FIRST, *(n for n in DEFINITIONS if n not in _FIRST)]:
             parameters, result, body = DEFINITIONS[name]

@@ -87,6 +87,19 @@ def build_object(df: DataFrame, *arguments, plain: bool = False) -> Column:
     return F.parse_json(members([(k, typed(df, v if isinstance(v, Column) else F.lit(v), plain)) for k, v in pairs]))
 
 
+def object_document(df: DataFrame, *arguments) -> Column:
+    """As ``build_object``, but canonical: members stay in this order."""
+    if len(arguments) % 2:
+        raise ValueError("keys and values come in pairs")
+    pairs = zip(arguments[::2], arguments[1::2], strict=True)
+    return call("from_navigable", members([(k, typed(df, v if isinstance(v, Column) else F.lit(v))) for k, v in pairs]))
+
+
+def row_document(df: DataFrame, *columns: str) -> Column:
+    """A row as a canonical document, members in column order."""
+    return call("from_navigable", members([(c, typed(df, F.col(f"`{c}`"))) for c in columns or df.columns]))
+
+
 def build_array(df: DataFrame, *values, plain: bool = False) -> Column:
     return F.parse_json(joined(F.array(*(F.coalesce(typed(df, v if isinstance(v, Column) else F.lit(v), plain), F.lit(NULL)) for v in values))))
 
@@ -110,7 +123,8 @@ def project(v: Column, schema: T.StructType) -> list[Column]:
         elif isinstance(f.dataType, T.LongType):
             found = call("numeric", at).cast("long")
         elif isinstance(f.dataType, T.TimestampType):
-            found = F.timestamp_micros((F.try_variant_get(at, '$["$i"]', "bigint") / 1000).cast("long"))
+            ns = F.try_variant_get(at, '$["$i"]', "bigint")
+            found = F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
         elif isinstance(f.dataType, T.StringType):
             found = F.when(call("typeof", at) != "null", call("text", at))
         else:
@@ -130,9 +144,12 @@ def array_agg(value: Column, *order_by: Column, descending: bool = False) -> Col
 
 
 def object_agg(key: Column, value: Column, *order_by: Column) -> Column:
-    """Keys and fragments as the fragment of an object; pairs with a null are skipped, later ones of a key win."""
+    """Keys and fragments as the fragment of an object; pairs with a null are skipped. The last of a key's pairs wins and gives its place."""
     pair = F.when(key.isNotNull() & value.isNotNull(), F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order_by)), key.cast("string").alias("k"), value.alias("x")))
     pairs = F.collect_list(pair)
     pairs = F.sort_array(pairs) if order_by else pairs
-    last = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda s: s["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda s: s["k"] == k), -1)["x"].alias("x"))))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(last), lambda e: F.concat(_key(e["key"]), e["value"])), ","), F.lit("}"))
+    placed = F.array_sort(F.transform(pairs, lambda s, i: F.struct(s["k"].alias("k"), i.alias("i"), s["x"].alias("x"))))
+    last = lambda a: F.filter(a, lambda s, i: F.coalesce(F.get(a, i + 1)["k"] != s["k"], F.lit(True)))
+    kept = F.get(F.transform(F.array(placed), last), F.lit(0))  # sorted once, not once for each pair
+    in_place = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["k"].alias("k"), s["x"].alias("x"))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(in_place, lambda s: F.concat(_key(s["k"]), s["x"])), ","), F.lit("}"))

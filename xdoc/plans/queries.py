@@ -192,6 +192,20 @@ def k3_from_row(spark):
     return df.select(F.col("n_nationkey").alias("k"), F.to_json(construct.from_row(df)).alias("t"))
 
 
+@_py("SELECT s_suppkey AS k, '{s_suppkey:' || s_suppkey || 'n,s_name:''' || s_name || ''',s_nationkey:' || s_nationkey || '}' AS t FROM supplier")
+def k3_row_in_order(spark):
+    """Members in column order."""
+    df = spark.table("supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+    df = df.withColumn("s_suppkey", F.col("s_suppkey").cast("long"))
+    return df.select(F.col("s_suppkey").alias("k"), call("stringify", construct.row_document(df)).alias("t"))
+
+
+@_py("SELECT event_id, '{type:''' || event_type || ''',id:' || event_id || 'n,at:null}' AS t FROM events")
+def k1_object_in_order(spark):
+    df = spark.table("events")
+    return df.select("event_id", call("stringify", construct.object_document(df, "type", F.col("event_type"), "id", F.col("event_id"), "at", F.lit(None).cast("string"))).alias("t"))
+
+
 @_py("SELECT o_orderkey, 'bigint' AS a, 'string' AS b, 'number' AS c FROM orders")
 def k4_typing(spark):
     df = spark.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -211,9 +225,20 @@ _sql("k16_elements", "SELECT event_id, xd_typeof(e.col) AS kind FROM (SELECT eve
 _sql("k17_elements_text", "SELECT event_id, e.col AS t FROM (SELECT event_id, xd_elements_text(xd_field(v, 'tags')) AS es FROM docs), LATERAL explode(es) AS e", "SELECT event_id, unnest(['t' || user_id % 3, event_type, 'null']) AS t FROM events")
 _sql("k18_keys", "SELECT e.col AS k, count(*) AS n FROM (SELECT xd_keys(v) AS ks FROM docs), LATERAL explode(ks) AS e GROUP BY 1", "SELECT k, count(*) AS n FROM (SELECT unnest(['id', 'type', 'value', 'user', 'props', 'tags', 'at', 'price', 'took']) AS k FROM events UNION ALL SELECT 'even' FROM events WHERE user_id % 2 = 0) GROUP BY 1")
 
+_sql("k18_stored_keys", "SELECT event_id, array_join(xd_stored_keys(xd_parse(t)), ' ') AS ks FROM texts", "SELECT event_id, 'id type price nested user' AS ks FROM events")
+_sql("k6_set_append", "SELECT event_id, xd_decode(xd_with_member(xd_with_member(xd_parse(concat('{b: 1, a: ', event_id, '}')), 'c', xd_appended(xd_parse('[1]'), xd_parse(concat(user_id, 'n')))), 'b', xd_parse('null'))) AS t FROM events", "SELECT event_id, '{b:null,a:' || event_id || ',c:[1,' || user_id || 'n]}' AS t FROM events")
+_sql("k5_instant_text", "SELECT event_id, xd_stringify(xd_parse(xd_instant_text(xd_extract_instant(v, array('at'))))) AS t FROM docs", "SELECT event_id, rtrim(rtrim(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z' AS t FROM events")
+
 # ---------------------------------------------------------------- aggregates A1-A6
 
 
+@_py("SELECT l_orderkey, '{' || string_agg('\"' || l_returnflag || '\":' || l_linenumber, ',' ORDER BY l_linenumber, l_returnflag) || '}' AS t FROM (SELECT l_orderkey, l_returnflag, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def a2_last_wins(spark):
+    """Keys that repeat within a group."""
+    df = spark.table("lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+    return df.groupBy("l_orderkey").agg(construct.object_agg(F.col("l_returnflag"), construct.typed(df, "l_linenumber"), F.col("l_linenumber")).alias("t"))
+
+
 @_py("SELECT o_custkey, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS t FROM orders GROUP BY 1")
 def a1_array_agg(spark):
     df = spark.table("orders")
@@ -283,6 +308,10 @@ _sql("m3_compare", "SELECT count(*) AS n FROM events WHERE xd_decimal(concat(use
 _sql("m5_round", "SELECT event_id, CAST(xd_round(CAST(value AS DECIMAL(38,10)), 1, 'floor') AS DOUBLE) AS f, CAST(xd_round(CAST(user_id AS DECIMAL(38,10)) / 10, 0, 'ceil') AS BIGINT) AS c FROM events", "SELECT event_id, CAST(floor(CAST(value AS DECIMAL(38,10)) * 10) / 10 AS DOUBLE) AS f, (user_id + 9) // 10 AS c FROM events")
 _X = "CAST(concat('1234567890123456', lpad(event_id % 1000, 3, '0'), '.1', event_id % 10) AS DECIMAL(38,10))"
 _sql("m5_round_exact", f"SELECT event_id, CAST(xd_round({_X}, 1, 'floor') AS STRING) AS f, CAST(xd_round({_X}, 1, 'half') AS STRING) AS h, CAST(xd_round(-{_X}, 1, 'floor') AS STRING) AS m FROM events", "SELECT event_id, '1234567890123456' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '.1000000000' AS f, '1234567890123456' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || CASE WHEN event_id % 10 >= 5 THEN '.2000000000' ELSE '.1000000000' END AS h, '-1234567890123456' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || CASE WHEN event_id % 10 > 0 THEN '.2000000000' ELSE '.1000000000' END AS m FROM events")
+_sql("m2_34_digits", "SELECT event_id, xd_decimal_fixed(xd_decimal_calc(concat(event_id, 'e-20m'), 'add', concat(event_id, 'e-20')), 25) AS s, xd_decimal_calc(concat(user_id, '.50'), 'subtract', '0.25') AS d, xd_decimal_calc(concat('1', lpad(user_id, 9, '0'), '00000000000000000000'), 'multiply', '10.0') AS p, xd_decimal_calc(CAST(user_id * 4 AS STRING), 'divide', '8') AS q, xd_decimal_calc(CAST(user_id AS STRING), 'remainder', '7') AS r, xd_decimal_calc('1', 'divide', '0') AS none FROM events", "SELECT event_id, '0.' || lpad(CAST(2 * event_id AS VARCHAR), 20, '0') || '00000' AS s, user_id || '.25' AS d, '1' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '000000000000000000000.0' AS p, CASE WHEN user_id % 2 = 0 THEN CAST(user_id // 2 AS VARCHAR) ELSE user_id // 2 || '.5' END AS q, CAST(user_id % 7 AS VARCHAR) AS r, CAST(NULL AS VARCHAR) AS none FROM events")
+_sql("m3_tiny", "SELECT event_id, xd_decimal_cmp(concat(user_id, 'e-30m'), '50e-30') AS c, xd_decimal_cmp(concat(user_id, '.00'), CAST(user_id AS STRING)) AS same FROM events", "SELECT event_id, CAST(sign(user_id - 50) AS INT) AS c, CAST(0 AS INT) AS same FROM events")
+_sql("m4_sign", "SELECT event_id, xd_decimal_abs(concat('-', CAST(value AS DECIMAL(18,2)))) AS a, xd_decimal_negate(concat(CAST(value AS DECIMAL(18,2)), 'm')) AS n, xd_decimal_sign(concat(user_id - 20, '.0')) AS s FROM events", "SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS a, '-' || CAST(value AS DECIMAL(18,2)) AS n, CAST(sign(user_id - 20) AS INT) AS s FROM events")
+_sql("m6_formats", "SELECT event_id, xd_decimal_fixed(concat(user_id, '.5m'), 3) AS f, xd_decimal_precision(concat('1', lpad(user_id, 9, '0'), '.25'), 12) AS p, xd_decimal_round(concat(user_id, '.5'), 0, 'half') AS h, xd_decimal_round(concat(user_id, '.5'), 0, 'even') AS e FROM events", "SELECT event_id, user_id || '.500' AS f, '1' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '.25' AS p, CAST(user_id + 1 AS VARCHAR) AS h, CAST((user_id + 1) // 2 * 2 AS VARCHAR) AS e FROM events")
 _sql("m7_bigint", "SELECT event_id, CAST(xd_bigint(concat(event_id, '000000000000000000n')) AS STRING) AS x FROM events", "SELECT event_id, CASE WHEN event_id = 0 THEN '0' ELSE event_id || '000000000000000000' END AS x FROM events")
 _sql("m8_m9_uuids", "SELECT count(*) AS n, count(DISTINCT a) AS a FROM (SELECT xd_uuid4() AS a, xd_uuid7(timestamp_seconds(1704067200 + event_id)) AS b FROM events) WHERE xd_uuid_version(a) = 4 AND xd_uuid_version(b) = 7", "SELECT count(*) AS n, count(*) AS a FROM events")
 _sql("m10_uuid_bytes", "SELECT event_id, xd_uuid_text(xd_uuid_bytes(upper(concat('550e8400-e29b-41d4-a716-', lpad(event_id, 12, '0'))))) AS u, xd_is_uuid('550e8400e29b41d4a716446655440000') AS bad FROM events", "SELECT event_id, '550e8400-e29b-41d4-a716-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS u, false AS bad FROM events")
@@ -316,12 +345,19 @@ def g5_indexed_exists(spark):
 # ---------------------------------------------------------------- sources and streams S1-S13
 
 
-def _written(spark, name: str) -> str:
+def _place(spark, name: str) -> str:
+    """A new folder on shared storage; a temporary one serves on one machine only."""
     import tempfile
     import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{at}/xdoc-{name}-{uuid.uuid4().hex}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{at or tempfile.gettempdir()}/xdoc-{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, name: str) -> str:
+    path = _place(spark, name)
     broken = F.when(F.col("event_id") % 100 == 0, "oops {").otherwise(F.regexp_replace("t", "^// event\n", ""))
     spark.table("texts").select(broken.alias("value")).write.text(path)
     return path
@@ -358,6 +394,54 @@ def s14_stream_totals(spark):
     return spark.table(name).select("key", "n", F.col("total").cast("double").alias("total"))
 
 
+@_py("SELECT '{id:' || event_id || 'n}' AS value FROM events")
+def s6_sink(spark):
+    """Documents written as lines, read back as text."""
+    at = _place(spark, "sink")
+    lines.write(spark.table("events").select(call("parse", F.concat(F.lit('{"id": '), "event_id", F.lit("n, }"))).alias("document")), at)
+    return spark.read.text(at)
+
+
+@_py("SELECT event_id, event_id % 100 = 0 AS bad, CASE WHEN event_id % 100 <> 0 THEN '{id:' || event_id || 'n}' END AS t FROM events")
+def s2_transform(spark):
+    """Lines of any frame, its other columns kept."""
+    text = F.when(F.col("event_id") % 100 == 0, "oops {").otherwise(F.concat(F.lit("{id: "), "event_id", F.lit("n}")))
+    got = lines.parse_lines(spark.table("events").select("event_id", text.alias("value")))
+    return got.select("event_id", F.col("_error").isNotNull().alias("bad"), call("stringify", F.col("document")).alias("t"))
+
+
+@_py("SELECT event_id, '{nan:null,x:' || CASE WHEN user_id % 2 = 0 THEN 'null' ELSE '1.5' END || '}' AS t FROM events")
+def c7_not_finite(spark):
+    df = spark.table("events").select("event_id", F.lit(float("nan")).alias("nan"), F.when(F.col("user_id") % 2 == 0, float("-inf")).otherwise(1.5).alias("x"))
+    return df.select("event_id", call("stringify", construct.row_document(df, "nan", "x")).alias("t"))
+
+
+@_py("SELECT event_id, event_id % 2 = 0 AS strict, '{' || chr(10) || '  ''id'': ' || event_id || chr(10) || '}' AS t FROM events")
+def c10_presets(spark):
+    """A parser and a writer under options of their own."""
+    from ..functions.codec import parser, writer
+    from ..text import ParseOptions
+
+    strict, pretty = parser(ParseOptions(trailing_commas=False, comments=False), attempt=True), writer(WriteOptions(indent=2, quote_keys=True))
+    text = F.concat(F.lit("{id: "), "event_id", F.when(F.col("event_id") % 2 == 0, "}").otherwise(",}"))
+    return spark.table("events").select("event_id", strict(text).isNotNull().alias("strict"), pretty(call("parse", text)).alias("t"))
+
+
+@_py("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'depth' WHEN event_id % 3 = 0 THEN 'string_length' END AS code FROM events")
+def c16_limits(spark):
+    from ..text import ParseOptions
+
+    text = F.when(F.col("event_id") % 2 == 0, "[[[[1]]]]").when(F.col("event_id") % 3 == 0, "'abcdef'").otherwise("[['abcde']]")
+    return spark.table("events").select("event_id", lines.attempt(ParseOptions(max_depth=3, max_string=5))(text)["code"].alias("code"))
+
+
+@_py("SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(CASE WHEN since < INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS since FROM events)) GROUP BY user_id, s")
+def s16_sessions(spark):
+    """Sessions of a user's events over an instant member; beyond the reference."""
+    user = F.try_variant_get(call("field", F.col("v"), "user"), "$", "bigint").alias("user_id")
+    return streaming.sessions(spark.table("docs").select("v"), "at", "6 hours", "10 minutes", user).select("user_id", F.unix_micros(F.col("session_window.start")).alias("start_us"), "n")
+
+
 @_py("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day_us, count(*) AS n FROM events GROUP BY 1")
 def s15_windows(spark):
     """Tumbling windows over an instant member; beyond the reference."""
@@ -372,6 +456,7 @@ _sql("bench_top_filtered", "SELECT event_id, xd_path_text(v, array('props', 'k')
 def bench_round_trip(spark):
     """Every order with its lines as a nested document, through text and binary and back."""
     li = spark.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
-    o = spark.table("orders").join(li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")).alias("lines")), F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_totalprice", "o_orderstatus", F.coalesce("lines", F.array().cast("array<struct<l_linenumber:int,l_quantity:double,l_extendedprice:double>>")).alias("lines"))
-    d = o.select("o_orderkey", F.size("lines").cast("long").alias("n"), call("from_navigable", F.to_json(construct.from_row(o))).alias("d"))
-    return d.select("o_orderkey", "n", (call("parse", call("stringify", F.col("d"))) == F.col("d")).alias("same"))
+    gathered = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")).alias("lines"))
+    o = spark.table("orders").join(gathered.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")  # both sides grow, so neither is broadcast; the gathered one is dealt by its key already
+    o = o.select("o_orderkey", "o_totalprice", "o_orderstatus", F.coalesce("lines", F.array().cast("array<struct<l_linenumber:int,l_quantity:double,l_extendedprice:double>>")).alias("lines"))
+    return o.select("o_orderkey", F.size("lines").cast("long").alias("n"), call("round_trips", construct.row_document(o)).alias("same"))

@@ -15,7 +15,7 @@ from ..functions.register import call
 def event_time(df: DataFrame, member: str, name: str = "event_time") -> DataFrame:
     """The instant at ``member`` as a timestamp (microseconds)."""
     ns = F.try_variant_get(call("field", F.col("v"), member), '$["$i"]', "bigint")
-    return df.withColumn(name, F.timestamp_micros(((ns - F.pmod(ns, F.lit(1000))) / 1000).cast("long")))
+    return df.withColumn(name, F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))))  # "/" would go through doubles
 
 
 def totals(df: DataFrame, key: str, amount: str) -> DataFrame:
