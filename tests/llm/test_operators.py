@@ -144,7 +144,24 @@ def test_piece_counts_are_the_librarys():
     counter = tokencount.PieceCounter.load(P("piece_bpe_32k.model"))
     texts = _fuzz() + [t for _, t in docs()]
     assert counter.count(texts) == [len(x) for x in library.encode(texts, num_threads=1)]
-    assert all(counter.count_long("▁" + t.replace(" ", "▁")) == len(library.encode(t)) for t in texts if t)
+
+
+@pytest.mark.parametrize("size", (7, 1 << 18))
+def test_piece_counts_of_long_pre_tokens(size, monkeypatch):
+    monkeypatch.setattr(tokencount, "SLICE", size)
+    library = sentencepiece.SentencePieceProcessor(model_file=P("piece_bpe_32k.model"))
+    counter = tokencount.PieceCounter.load(P("piece_bpe_32k.model"))
+    rnd = random.Random(2)
+    pieces = [library.id_to_piece(k).strip("▁") for k in range(300, 20000)]
+    texts = ["".join(rnd.choices(letters, k=n)) for letters in ("ab", "acgt", "-=_", "0123456789abcdef", "王李张é\U0001f9ea", pieces) for n in (1, 2, 3, 40, 5000)]
+    assert counter.count(texts) == [len(x) for x in library.encode(texts, num_threads=1)]
+    assert all(len(s) <= tokencount.LONG for s in counter.seen)
+
+
+def test_piece_models_of_another_kind_are_refused(monkeypatch):
+    monkeypatch.setattr(tokencount.PieceCounter, "count", lambda self, texts: [0])
+    with pytest.raises(ValueError):
+        tokencount.PieceCounter.load(P("piece_bpe_32k.model"))
 
 
 def test_token_counts(spark):
