@@ -116,6 +116,15 @@ def test_line_modes(spark, tmp_path):
     assert sorted(r.line_number for r in table.where("error IS NULL").collect()) == [1, 5, 6, 7]
     table.where("document IS NOT NULL").write.format("xdocl").mode("append").save(str(tmp_path / "again"))
     assert spark.read.format("xdocl").load(str(tmp_path / "again")).count() == 4
+    table.where("line_number = 1").write.format("xdocl").mode("overwrite").save(str(tmp_path / "again"))
+    assert spark.read.format("xdocl").load(str(tmp_path / "again")).count() == 1
+    broken = table.where("document IS NOT NULL").select(F.when(F.col("line_number") == 1, F.lit(b"\xff")).otherwise(F.col("document")).alias("document"), "line_number", "error", "line")
+    with pytest.raises(Exception):
+        broken.write.format("xdocl").mode("append").save(str(tmp_path / "again"))
+    assert len([p for p in (tmp_path / "again").iterdir() if p.name.startswith(".part")]) == 0
+    assert spark.read.format("xdocl").load(str(tmp_path / "again")).count() == 1
+    broken.write.format("xdocl").mode("append").option("skipInvalid", "true").save(str(tmp_path / "again"))
+    assert spark.read.format("xdocl").load(str(tmp_path / "again")).count() == 4
 
 
 def test_streams(spark, tmp_path):

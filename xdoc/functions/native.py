@@ -225,6 +225,12 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "xd_to_timestamp": (_I1, "TIMESTAMP", f"timestamp_micros(({utc('i')} - pmod({utc('i')}, 1000L)) div 1000)"),
     "xd_epoch": (_I1, "DOUBLE", f"{utc('i')} / CAST({SECOND_NS}L AS DOUBLE)"),
     "xd_from_epoch": ("x DOUBLE", INSTANT, f"if(x IS NULL, NULL, {instant(f'CAST(x * {SECOND_NS}L AS BIGINT)')})"),
+    "xd_epoch_ms": (_I1, "BIGINT", f"{utc('i')} div 1000000L"),
+    "xd_from_epoch_ns": ("n BIGINT", INSTANT, f"if(n IS NULL, NULL, {instant('n')})"),
+    "xd_from_epoch_ms": ("n BIGINT", INSTANT, let(long("CAST(n AS DECIMAL(20,0)) * 1000000"), lambda x: f"if({x} IS NULL, NULL, {instant(x)})")),
+    "xd_since": (f"a {INSTANT}, b {INSTANT}", DURATION, f"if(a IS NULL OR b IS NULL, NULL, {of_ns(f'({utc(chr(97))} - {utc(chr(98))})')})"),
+    "xd_until": (f"a {INSTANT}, b {INSTANT}", DURATION, f"if(a IS NULL OR b IS NULL, NULL, {of_ns(f'({utc(chr(98))} - {utc(chr(97))})')})"),
+    "xd_same_instant": (f"a {INSTANT}, b {INSTANT}", "BOOLEAN", f"{utc('a')} = {utc('b')}"),
     "xd_instant_cmp": (f"a {INSTANT}, b {INSTANT}", "INT", f"CAST(sign({utc('a')} - {utc('b')}) AS INT)"),
     "xd_instant_plus": (f"{_I1}, {_P1}", INSTANT, let(long("i.ns + " + total("p")), lambda x: f"if({x} IS NULL, NULL, {instant(x, 'i.tz')})")),
     "xd_instant_minus": (f"{_I1}, {_P1}", INSTANT, let(long("i.ns - " + total("p")), lambda x: f"if({x} IS NULL, NULL, {instant(x, 'i.tz')})")),

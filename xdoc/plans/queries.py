@@ -272,6 +272,9 @@ _sql("u2_set_ops", "SELECT xd_decode(d) AS t FROM (SELECT xd_parse(concat(user_i
 _sql("j5_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN docs ON try_variant_get(xd_field(v, 'user'), '$', 'bigint') = c_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
 _sql("j6_outer", "SELECT c_custkey, count(event_id) AS n, max(xd_field_text(v, 'type')) AS last FROM customer LEFT JOIN docs ON try_variant_get(xd_field(v, 'user'), '$', 'bigint') = c_custkey GROUP BY c_custkey", "SELECT c_custkey, count(event_id) AS n, max(event_type) AS last FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
 _sql("j7_inequality", "SELECT n_name, r_name FROM nation JOIN region ON xd_instant_cmp(xd_from_epoch(CAST(n_nationkey AS DOUBLE)), xd_from_epoch(CAST(r_regionkey AS DOUBLE))) < 0", "SELECT n_name, r_name FROM nation JOIN region ON n_nationkey < r_regionkey")
+_sql("i10_epochs", "SELECT event_id, xd_epoch_ms(at) AS ms, xd_instant_text(xd_from_epoch_ms(xd_epoch_ms(at))) = xd_instant_text(xd_from_epoch_ns(xd_epoch_ms(at) * 1000000)) AS same_text, xd_same_instant(at, xd_from_epoch_ns(xd_utc_ns(at))) AS same, xd_duration_text(xd_since(at, xd_from_epoch_ms(1704067200000))) = xd_duration_text(xd_negate(xd_until(at, xd_from_epoch_ms(1704067200000)))) AS opposite, xd_total(xd_until(at, xd_from_epoch_ms(1704067200000)), 'seconds') AS seconds FROM (SELECT event_id, xd_extract_instant(v, array('at')) AS at FROM docs)", "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS same_text, true AS same, true AS opposite, CAST(trunc((1704067200000000 - epoch_us(ts)) / 1000000.0) AS BIGINT) AS seconds FROM events")
+
+
 _sql("w2_lag_and_running_sum", f"SELECT event_id, xd_duration_text(xd_between(at, lag(at) OVER w)) AS since, sum(price) OVER w AS so_far FROM (SELECT event_id, user_id, xd_extract_instant(v, array('at')) AS at, CAST(xd_numeric(xd_field(v, 'price')) AS DOUBLE) > 50 AS dear, CAST(xd_numeric(xd_field(v, 'id')) AS BIGINT) AS price FROM docs) WINDOW w AS (PARTITION BY user_id ORDER BY at.ns, event_id)", """SELECT event_id, CASE WHEN d IS NULL THEN NULL WHEN d = 0 THEN 'PT0S' ELSE 'PT' || d // 1000000 || CASE WHEN d % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(d % 1000000 AS VARCHAR), 6, '0') || '000' END || 'S' END AS since, so_far FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS d, CAST(sum(event_id) OVER w AS BIGINT) AS so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 _sql("u3_union", "SELECT xd_field_text(v, 'type') AS t FROM docs UNION SELECT r_name FROM region", "SELECT event_type AS t FROM events UNION SELECT r_name FROM region")
 _sql("u4_intersect", "SELECT xd_decode(d) AS t FROM (SELECT xd_parse(concat(user_id, 'n')) AS d FROM events INTERSECT SELECT xd_parse(concat(c_custkey * 2, 'n')) FROM customer)", "SELECT user_id || 'n' AS t FROM (SELECT user_id FROM events INTERSECT SELECT c_custkey * 2 FROM customer)")
@@ -402,6 +405,31 @@ def s6_sink(spark):
     return spark.read.text(at)
 
 
+@_py("SELECT event_id // 1000 AS k, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def s13_whole_documents(spark):
+    """One document per file, over many lines each."""
+    at = _place(spark, "whole")
+    some = spark.table("events").groupBy(F.expr("event_id div 1000").alias("k")).agg(F.collect_list(F.concat(F.col("event_id").cast("string"), F.lit("n"))).alias("ids"))
+    one = F.concat(F.lit("{ // a thousand events\n  k: "), F.col("k"), F.lit(",\n  ids: ["), F.array_join("ids", ",\n"), F.lit("],\n}"))
+    some.select(one.alias("value")).write.option("maxRecordsPerFile", 1).text(at)
+    got = lines.read_whole(spark, at).select(F.parse_json(call("navigable", F.col("document"))).alias("v"))
+    got = got.select(F.try_variant_get("v", "$.k", "bigint").alias("k"), call("elements", call("field", F.col("v"), "ids")).alias("ids"))
+    got = got.select("k", F.explode("ids").alias("e")).select("k", call("numeric", F.col("e")).cast("bigint").alias("e"))
+    return got.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("ids"))
+
+
+@_py("SELECT 'unexpected_token' AS code, 'oops {' AS line, count(*) AS n FROM events WHERE event_id % 100 = 0 UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_id % 100 <> 0")
+def s17_stream_quarantine(spark):
+    """Bad lines of a stream, beside its documents."""
+    import uuid
+
+    source = lines.read_stream(spark, _written(spark, "errors"))
+    name = f"xdoc_errors_{uuid.uuid4().hex}"
+    counted = source.groupBy(F.col("_error.code").alias("code"), F.col("_line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 @_py("SELECT event_id, event_id % 100 = 0 AS bad, CASE WHEN event_id % 100 <> 0 THEN '{id:' || event_id || 'n}' END AS t FROM events")
 def s2_transform(spark):
     """Lines of any frame, its other columns kept."""

@@ -1,5 +1,9 @@
 """``spark.read.format("xdocl")`` and ``df.write.format("xdocl")``: local files with line numbers, as a Python data source.
 
+A write's files are hidden until all tasks have ended, so tasks that fail or run
+twice leave nothing; ``overwrite`` removes the older files then. A document that
+can't be written ends the write, or is left out with the option ``skipInvalid``.
+
 For stores that only Spark reads, use ``lines.read(..., line_numbers=True)``.
 """
 
@@ -8,6 +12,8 @@ from __future__ import annotations
 import glob
 import os
 import uuid
+from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -40,17 +46,49 @@ class _Reader(DataSourceReader):
                     yield None, number, str(e), line
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    name: str
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, options):
-        self.path, self.delimiter = options["path"], options.get("delimiter", "\n")
+    def __init__(self, options, overwrite):
+        self.path, self.delimiter, self.overwrite = options["path"], options.get("delimiter", "\n"), overwrite
+        self.skip = str(options.get("skipinvalid", "false")).lower() == "true"
+
+    def _hidden(self, name):
+        return Path(self.path, f".{name}")
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
-        with open(os.path.join(self.path, f"part-{uuid.uuid4().hex}.xdocl"), "w", encoding="utf-8", newline="") as f:
-            for row in rows:
-                if row[0] is not None:
-                    f.write(text.stringify(binary.decode(bytes(row[0]))) + self.delimiter)
-        return WriterCommitMessage()
+        part = _Part(f"part-{uuid.uuid4().hex}.xdocl")
+        try:
+            with open(self._hidden(part.name), "w", encoding="utf-8", newline="") as f:
+                for row in rows:
+                    if row[0] is None:
+                        continue
+                    try:
+                        line = text.stringify(binary.decode(bytes(row[0])))
+                    except ValueError:
+                        if not self.skip:
+                            raise
+                        continue
+                    f.write(line + self.delimiter)
+        except BaseException:
+            self._hidden(part.name).unlink(missing_ok=True)
+            raise
+        return part
+
+    def commit(self, messages):
+        old = list(Path(self.path).glob("part-*.xdocl")) if self.overwrite else []
+        for part in filter(None, messages):
+            os.replace(self._hidden(part.name), Path(self.path, part.name))
+        for file in old:
+            file.unlink(missing_ok=True)
+
+    def abort(self, messages):
+        for part in filter(None, messages):
+            self._hidden(part.name).unlink(missing_ok=True)
 
 
 class LinesDataSource(DataSource):
@@ -65,7 +103,7 @@ class LinesDataSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
