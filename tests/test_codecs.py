@@ -91,3 +91,53 @@ def test_containment_and_nulls():
     assert not has("[[1,2]]", "[[1]]") and not has("1", "1n") and not has("{a:1.0m}", "{a:1.00m}") and not has("[1]", "1") and not has("[1]", "{}")
     assert strip_nulls(parse("{a:null,b:[1,null,{c:null}]}")) == {"b": [1, {}]} and strip_nulls(None) is None
     assert list(paths(parse("{a:{b:[{c:1}]}}"))) == ["a", "a.b", "a.b[0].c"]
+
+
+def test_codecs_do_not_rebuild_what_repeats():
+    """Work per document, counted in calls so that no clock matters (before: 850)."""
+    import sys
+
+    doc = from_navigable('{"at":{"$i":1704067211172425000},"even":null,"id":{"$n":"123456"},"price":{"$m":"29.27"},"props":{"k":76},"tags":["t1","click",null],"took":{"$p":"PT45M"},"type":"click","value":29.27}')
+    calls = 0
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    def trip():
+        return encode(parse(stringify(decode(encode(from_navigable(navigable(doc)))))))
+
+    assert trip() == encode(doc)
+    sys.setprofile(count)
+    try:
+        trip()
+    finally:
+        sys.setprofile(None)
+    assert calls < 600
+
+
+@pytest.mark.parametrize("text, found", [("{ a : 1 , 'b' : 2.50m ,\n\"c\":'x' , }", "{a:1,b:2.50m,c:'x'}"), ("[ 1 , 'a' , -5n , null , ]", "[1,'a',-5n,null]"), ("{a:12345678901234567890, b: 0." + "1" * 33 + "m}", "{a:12345678901234567000,b:0." + "1" * 33 + "m}")])
+def test_common_tokens_with_space(text, found):
+    assert encode(parse(text)) == encode(parse(found)) and not is_valid(text.replace(",", ",,", 1))
+
+
+def test_times_are_checked():
+    for text in ("2024-01-01T24:00:00Z", "2024-01-01T00:60:00Z", "2024-01-01T00:00:60Z", "2024-02-30T00:00:00Z", "0000-01-01T00:00:00Z"):
+        with pytest.raises(ValueError):
+            Instant.parse(text)
+    assert str(Instant.parse("0001-01-01T00:00:00.000000001Z")) == "0001-01-01T00:00:00.000000001Z"
+
+
+def test_same_batch_twice_is_worked_once():
+    import pandas as pd
+
+    from xdoc.functions.codec import _once
+
+    column, other, runs = pd.Series(["a"]), pd.Series(["a"]), []
+
+    def run(x):
+        runs.append(x)
+        return x + "!"
+
+    assert _once("test", (column,), run) is _once("test", (column,), run) and len(runs) == 1
+    assert list(_once("test", (other,), run)) == ["a!"] and len(runs) == 2

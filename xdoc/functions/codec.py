@@ -17,15 +17,29 @@ from .. import binary, text, values
 from ..text import ParseError, ParseOptions, WriteOptions
 
 
-def _each(one: Callable, kind: DataType, arguments: int = 1):
+#: By function: the columns that it last had, and what it made of them.
+_LAST: dict[str, tuple[tuple[pd.Series, ...], pd.Series]] = {}
+
+
+def _once(name: str, columns: tuple[pd.Series, ...], run: Callable) -> pd.Series:
+    """An expression that stands twice in a query has the same batch of columns twice, one right after the other."""
+    if name not in _LAST or any(a is not b for a, b in zip(_LAST[name][0], columns, strict=True)):
+        _LAST[name] = columns, run(*columns)
+    return _LAST[name][1]
+
+
+def _each(one: Callable, kind: DataType, arguments: int = 1, name: str | None = None):
     def cell(*xs):
         if any(x is None for x in xs):
             return None
         return one(*(bytes(x) if isinstance(x, (bytearray, memoryview)) else x for x in xs))
 
     if arguments == 1:
+        def rows(a: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else one(bytes(x) if isinstance(x, (bytearray, memoryview)) else x) for x in a], dtype=object)
+
         def run(a: pd.Series) -> pd.Series:
-            return pd.Series([cell(x) for x in a], dtype=object)
+            return _once(name, (a,), rows) if name else rows(a)
     else:
         def run(*columns: pd.Series) -> pd.Series:
             return pd.Series([cell(*xs) for xs in zip(*columns, strict=True)], dtype=object)
@@ -50,15 +64,19 @@ def _write(options: WriteOptions, b: bytes) -> str:
     return text.stringify(binary.decode(b), options)
 
 
+def _text(b: bytes) -> str:
+    return text.stringify(binary.decode(b))
+
+
 def parser(options: ParseOptions = ParseOptions(), attempt: bool = False):
     """Text to canonical binary, under preset options."""
     one = partial(_encode_text, options)
     return _each(_tried(one) if attempt else one, BinaryType())
 
 
-def writer(options: WriteOptions = WriteOptions()):
+def writer(options: WriteOptions = WriteOptions(), name: str | None = None):
     """Canonical binary to text, under preset options."""
-    return _each(partial(_write, options), StringType())
+    return _each(partial(_write, options) if options != WriteOptions() else _text, StringType(), name=name)
 
 
 def transformer(hook: Callable):
@@ -122,7 +140,7 @@ UDFS = {
     "xd_parse": parser(),
     "xd_try_parse": parser(attempt=True),
     "xd_parse_or": _each(_or_default, BinaryType(), 2),
-    "xd_stringify": writer(),
+    "xd_stringify": writer(name="xd_stringify"),
     "xd_to_json": writer(WriteOptions(json=True)),
     "xd_pretty": _each(_pretty, StringType(), 2),
     "xd_stringify_sorted": writer(WriteOptions(sort_keys=True)),
@@ -130,8 +148,8 @@ UDFS = {
     "xd_decode": _each(lambda b: text.stringify(binary.decode(b)), StringType()),
     "xd_try_decode": _each(_tried(lambda b: text.stringify(binary.decode(b))), StringType()),
     "xd_is_valid_binary": _each(binary.decodable, BooleanType()),
-    "xd_navigable": _each(lambda b: binary.navigable(binary.decode(b)), StringType()),
-    "xd_from_navigable": _each(lambda t: binary.encode(binary.from_navigable(t)), BinaryType()),
+    "xd_navigable": _each(lambda b: binary.navigable(binary.decode(b)), StringType(), name="xd_navigable"),
+    "xd_from_navigable": _each(lambda t: binary.encode(binary.from_navigable(t)), BinaryType(), name="xd_from_navigable"),
     "xd_sort_key": _each(lambda b: binary.sort_key(binary.decode(b)), BinaryType()),
     "xd_strip_nulls": _each(lambda b: binary.encode(values.strip_nulls(binary.decode(b))), BinaryType()),
     "xd_contains": _each(lambda a, b: values.contains(binary.decode(a), binary.decode(b)), BooleanType(), 2),

@@ -24,11 +24,18 @@ _DOCS = f"""SELECT event_id, user_id, event_type, value, ts, props, parse_json(c
 _TEXTS = "SELECT event_id, concat('// event\n{id: ', event_id, 'n, type: ''', event_type, ''', \"price\": ', CAST(value AS DECIMAL(18,2)), 'm, nested: {a: [1, 2, null,], b: null,}, user: ', user_id, ',}') AS t FROM events"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt anew, evenly: a table may have fewer row groups than there are cores, and documents cost far more to make than to move."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def open_views(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views of the tables, and docs and texts over them. Only what a query reads is ever scanned."""
     register(spark)
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (spread(table) if name == "events" else table).createOrReplaceTempView(name)
     spark.sql(_DOCS).createOrReplaceTempView("docs")
     spark.sql(_TEXTS).createOrReplaceTempView("texts")
 
