@@ -167,3 +167,12 @@ def test_times_keep_their_microseconds(spark):
 def test_members_set_and_appended(spark):
     got = _one(spark, "xd_decode(xd_with_member(xd_parse('{a:1,b:2}'), 'a', xd_parse('3n'))), xd_decode(xd_appended(xd_parse('[]'), xd_parse('{}'))), xd_stored_keys(xd_parse('{z:1,a:2}')), xd_appended(xd_parse('[]'), CAST(NULL AS BINARY))")
     assert list(got) == ["{a:3n,b:2}", "[{}]", ["z", "a"], None]
+
+
+def test_doubles_of_documents_are_plain_casts(spark):
+    from xdoc.operators import construct
+
+    df = spark.createDataFrame([(x,) for x in (0.5, 17.0, -0.0, 1e21, 1e-7, 1.7976931348623157e308, 4.9e-324, float("nan"), None)], "x double")
+    d = construct.row_document(df)
+    assert "to_variant_object" not in df.select(d)._jdf.queryExecution().analyzed().toString()
+    assert [r[0] for r in df.select(xdoc.call("stringify", d)).collect()] == ["{x:0.5}", "{x:17}", "{x:-0}", "{x:1e21}", "{x:1e-7}", "{x:1.7976931348623157e308}", "{x:5e-324}", "{x:null}", "{x:null}"]

@@ -30,7 +30,7 @@ def fragment(value: Column, kind: T.DataType, plain: bool = False) -> Column:
     if isinstance(kind, T.BooleanType):
         return value.cast("string")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), NULL).otherwise(F.to_json(F.to_variant_object(F.array(value.cast("double")))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(value.cast("double"))))) - 2))
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), NULL).otherwise(value.cast("double").cast("string"))
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)) or plain and isinstance(kind, (T.LongType, T.DecimalType)):
         return value.cast("string")
     if isinstance(kind, T.LongType) or isinstance(kind, T.DecimalType) and kind.scale == 0:
