@@ -176,3 +176,26 @@ def test_doubles_of_documents_are_plain_casts(spark):
     d = construct.row_document(df)
     assert "to_variant_object" not in df.select(d)._jdf.queryExecution().analyzed().toString()
     assert [r[0] for r in df.select(xdoc.call("stringify", d)).collect()] == ["{x:0.5}", "{x:17}", "{x:-0}", "{x:1e21}", "{x:1e-7}", "{x:1.7976931348623157e308}", "{x:5e-324}", "{x:null}", "{x:null}"]
+
+
+def test_index_takes_one_shuffle_by_key(spark):
+    from xdoc.operators import pathindex
+
+    d = spark.range(20).select("id", xdoc.call("parse", F.concat(F.lit("{a:1"), F.when(F.col("id") % 2 == 0, ",b:{c:2}").otherwise(""), F.lit("}"))).alias("d"))
+    index = pathindex.build(d, "id", "d")
+    for wanted, any_, n in ((["a", "b.c"], False, 10), (["b", "b"], False, 10), (["b", "x"], False, 0), (["b", "x"], True, 10), ([], False, 20)):
+        assert pathindex.with_paths(d, index.union(index), "id", wanted, any_).count() == n
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pathindex.with_paths(d, index, "id", ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 2  # before: 3
+
+
+def test_events_are_dealt_evenly(spark):
+    from xdoc.plans import queries
+
+    queries.open_views(spark, "/root/testdata/sf0.001")  # one row group: one task before
+    assert spark.table("docs").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

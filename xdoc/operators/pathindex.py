@@ -14,7 +14,7 @@ def build(df: DataFrame, key: str, d: str) -> DataFrame:
     """(path, key) of every object path of the canonical column ``d``. Write it sorted or bucketed by path."""
     @F.pandas_udf("array<string>")
     def paths(column):
-        return column.map(lambda b: sorted(set(values.paths(binary.decode(bytes(b))))) if b is not None else None)
+        return column.map(lambda b: list(dict.fromkeys(values.paths(binary.decode(bytes(b))))) if b is not None else None)
 
     return df.select(F.explode(paths(d)).alias("path"), F.col(key))
 
@@ -28,9 +28,10 @@ def with_paths(df: DataFrame, index: DataFrame, key: str, wanted: list[str], any
     """Rows that the index says have all (or any) of the paths."""
     if not wanted:
         return df.limit(0) if any_ else df
-    hits = index.where(F.col("path").isin(wanted)).select("path", key).distinct()
-    if not any_:
-        hits = hits.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == len(set(wanted)))
+    hits = index.where(F.col("path").isin(wanted))
+    if not any_ and len(set(wanted)) > 1:  # one shuffle by key, which the join then uses: a key's rows are few, and paths that stand there twice count once
+        has = [F.max(F.col("path") == p).alias(f"__{k}") for k, p in enumerate(sorted(set(wanted)))]
+        hits = hits.groupBy(key).agg(*has).where(" AND ".join(f"__{k}" for k in range(len(has))))
     return df.join(hits.select(key), key, "left_semi")
 
 
