@@ -170,6 +170,7 @@ def test_members_set_and_appended(spark):
 
 
 def test_doubles_of_documents_are_plain_casts(spark):
+    xdoc.register(spark)
     from xdoc.operators import construct
 
     df = spark.createDataFrame([(x,) for x in (0.5, 17.0, -0.0, 1e21, 1e-7, 1.7976931348623157e308, 4.9e-324, float("nan"), None)], "x double")
@@ -179,6 +180,7 @@ def test_doubles_of_documents_are_plain_casts(spark):
 
 
 def test_index_takes_one_shuffle_by_key(spark):
+    xdoc.register(spark)
     from xdoc.operators import pathindex
 
     d = spark.range(20).select("id", xdoc.call("parse", F.concat(F.lit("{a:1"), F.when(F.col("id") % 2 == 0, ",b:{c:2}").otherwise(""), F.lit("}"))).alias("d"))
@@ -199,3 +201,23 @@ def test_events_are_dealt_evenly(spark):
 
     queries.open_views(spark, "/root/testdata/sf0.001")  # one row group: one task before
     assert spark.table("docs").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_numbered_lines_of_split_files(spark, tmp_path):
+    xdoc.register(spark)
+    src = tmp_path / "a b+c"
+    src.mkdir()
+    lines_ = {f"f%{k}.txt": [b"" if n % 7 == 0 else b"{n:%d}" % n for n in range(1, size + 1)] for k, size in enumerate((3000, 1, 900))}
+    for name, rows in lines_.items():
+        (src / name).write_bytes(b"\n".join(rows) + b"\n\n")
+    (src / "bad.txt").write_bytes(b"\n'\xff'")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = lines.read(spark, str(src), mode="FAILFAST", line_numbers=True)
+        assert got.rdd.getNumPartitions() > 4  # before: a file was one task's work
+        rows = got.select("_file", "_line_number", xdoc.call("stringify", F.col("document")).alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    expected = {(f"file:{src}/{name}", n, row.decode()) for name, rows in lines_.items() for n, row in enumerate(rows, 1) if row}
+    assert {tuple(r) for r in rows} == expected | {(f"file:{src}/bad.txt", 2, "'�'")} and len(rows) == len(expected) + 1

@@ -7,8 +7,7 @@ keeps them as rows with ``_error`` and ``_line`` and a null document.
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import binary, text
@@ -34,7 +33,8 @@ def attempt(options: ParseOptions = ParseOptions(), max_line: int = MAX_LINE):
 
     @F.pandas_udf(_RESULT)
     def run(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in column], columns=["d", "code", "message", "position", "line", "column"]).astype({"position": "Int32", "line": "Int32", "column": "Int32"})
+        found = list(zip(*map(one, column), strict=True)) or [()] * 6
+        return pd.DataFrame({n: pd.Series(x, dtype=k) for n, x, k in zip(("d", "code", "message", "position", "line", "column"), found, [object] * 3 + ["Int32"] * 3, strict=True)})
 
     return run
 
@@ -44,7 +44,7 @@ def parse_lines(lines: DataFrame, column: str = "value", mode: str = "PERMISSIVE
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     rest = [c for c in lines.columns if c != column]
-    got = lines.where(F.length(F.trim(F.regexp_replace(column, r"\s", ""))) > 0).withColumn("__r", attempt(options, max_line)(F.col(column)))
+    got = lines.where(F.col(column).rlike(r"\S")).withColumn("__r", attempt(options, max_line)(F.col(column)))
     bad = F.col("__r.code").isNotNull()
     if mode == "DROPMALFORMED":
         return got.where(~bad).select(*rest, F.col("__r.d").alias("document"))
@@ -56,22 +56,24 @@ def parse_lines(lines: DataFrame, column: str = "value", mode: str = "PERMISSIVE
 
 
 def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE", line_numbers: bool = False, **options) -> DataFrame:
-    """Documents of text files. With line numbers a file is one task's work; without, files are split."""
+    """Documents of text files, which are split, also with line numbers.
+
+    A line's number is its place in its split after the lines of the file's splits before; these are
+    counted by a first pass over the same splits. Bytes that are no UTF-8 become U+FFFD.
+    """
+    rows = spark.read.text(path, lineSep="\n")
     if not line_numbers:
-        return parse_lines(spark.read.text(path, lineSep="\n"), mode=mode, **options)
-
-    def split(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lines = content.as_py().decode("utf-8", "replace").split("\n")
-                if lines and not lines[-1]:
-                    lines.pop()
-                for a in range(0, len(lines), 10_000):
-                    part = lines[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(a + 1, a + 1 + len(part)), pa.int64()), pa.array(part, pa.string())], names=["_file", "_line_number", "value"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return parse_lines(files.mapInArrow(split, "_file string, _line_number long, value string"), mode=mode, **options)
+        return parse_lines(rows, mode=mode, **options)
+    split = ["__path", "__start"]
+    rows = rows.select("value", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    name = F.regexp_replace("__path", r"\+", "%2B")  # a path as it is, from its URI
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = rows.groupBy(*split).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).select(*split, "__first", "__n", before.alias("__before"), F.url_decode(name).alias("_file"))
+    at = F.col("__at") - F.col("__first")
+    known = F.coalesce((at >= 0) & (at < F.col("__n")), F.lit(False))
+    number = F.when(known, at + F.col("__before") + 1).otherwise(F.raise_error(F.lit("files were split in another way than when their lines were counted: set spark.sql.files.minPartitionNum")).cast("long"))
+    numbered = rows.join(F.broadcast(splits), split, "left").select("_file", number.alias("_line_number"), F.make_valid_utf8("value").alias("value"))
+    return parse_lines(numbered, mode=mode, **options)
 
 
 def read_whole(spark: SparkSession, path: str, mode: str = "FAILFAST", **options) -> DataFrame:
